@@ -1,0 +1,101 @@
+"""All counts of a report pack from one scan.
+
+The reports of a pack differ only in grouping columns, scope and months, and every measure is a
+count. So the cases are read once and aggregated by grouping sets of raw columns, with one count
+per scope and period. What is left is as large as the sets of labels, and all reports start there.
+"""
+
+from __future__ import annotations
+
+import operator
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from scopelens.functions.months import within
+from scopelens.model import BRAND, MONTH, SUBCAT2, TOTAL, Period, ReportParams
+from scopelens.plans.reports import KIND_KEYS, LINE_KEYS, PAIR_KEYS, SUBCAT2_KEYS, brand_names, shown_brands
+from scopelens.session import ensure_checkpoint_dir
+from scopelens.sources.scopes import ScopeRegistry
+from scopelens.vocabulary import PORTUGUESE, Taxonomy
+
+MONTH_KEYS = (MONTH,)
+KEY_SETS = (MONTH_KEYS, KIND_KEYS, PAIR_KEYS, LINE_KEYS, SUBCAT2_KEYS)
+KEYS = tuple(dict.fromkeys(name for keys in KEY_SETS for name in keys))
+
+RANGE, LAST, FIRST = "in_range", "in_last", "in_first"
+TRADITIONAL, DIGITAL = "traditional", "digital"
+
+
+def set_number(keys: Sequence[str]) -> int:
+    """``grouping_id()`` of a set: a bit for each key that is not in it, the first key's highest."""
+    return reduce(lambda bits, name: bits * 2 + (name not in keys), KEYS, 0)
+
+
+class SharedCounts:
+    """The counted cases of one pack, read from the shared aggregate."""
+
+    def __init__(self, aggregate: DataFrame, brands: DataFrame) -> None:
+        self.aggregate = aggregate
+        self._brands = brands
+
+    def counts(self, keys: Sequence[str], measure: str) -> DataFrame:
+        """As ``count_rows`` gives for the scope and the months of the measure.
+
+        Sets are told apart by number, never by NULL keys: labels can be NULL too.
+        """
+        chosen = self.aggregate.where((F.col("key_set") == set_number(keys)) & (F.col(measure) > 0))
+        return chosen.select(*keys, F.col(measure).alias(TOTAL))
+
+    def channels(self) -> DataFrame:
+        return self.aggregate.where(F.col("key_set") == set_number(MONTH_KEYS)).select(MONTH, TRADITIONAL, DIGITAL)
+
+    def brands(self) -> DataFrame:
+        return self._brands
+
+
+def flags(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> dict[str, Column]:
+    """What a case counts for. A condition that is NULL does not count."""
+    scope = registry.scope(params.scope).predicate
+
+    def months(period: Period | None) -> Column:
+        return F.lit(True) if period is None else within(period, cases.columns)
+
+    channel = months(params.channel_period)
+    conditions = {
+        RANGE: scope & months(params.period),
+        LAST: scope & months(params.last_month),
+        FIRST: scope & months(params.first_month),
+        TRADITIONAL: registry.scope(params.traditional_scope).predicate & channel,
+        DIGITAL: registry.scope(params.digital_scope).predicate & channel,
+    }
+    return {name: F.coalesce(condition, F.lit(False)) for name, condition in conditions.items()}
+
+
+def shared_aggregate(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> DataFrame:
+    """The pass itself, lazily: one scan, one Expand, one shuffle of partial counts."""
+    conditions = flags(cases, registry, params)
+    if params.channel_period is not None:
+        ends = (params.period, params.channel_period)
+        covering = Period(min(p.start for p in ends), max(p.end for p in ends))
+        cases = cases.where(within(covering, cases.columns))
+    used = cases.withColumns(conditions).where(reduce(operator.or_, [F.col(name) for name in conditions]))
+    measures = [F.count_if(F.col(name)).alias(name) for name in conditions]
+    rows = used.select(*KEYS, *conditions)
+    return rows.groupingSets([[F.col(k) for k in keys] for keys in KEY_SETS], *[F.col(k) for k in KEYS]).agg(
+        F.grouping_id().alias("key_set"), *measures
+    )
+
+
+def shared_pass(
+    cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy = PORTUGUESE
+) -> SharedCounts:
+    """Runs the pass and keeps its result, a table of label counts, in the checkpoint folder.
+
+    Without that cut each report's filter on its own key set would be pushed below the aggregate,
+    and every report would scan the cases again. From there a lost executor costs no second scan.
+    """
+    ensure_checkpoint_dir(cases.sparkSession)
+    aggregate = shared_aggregate(cases, registry, params).checkpoint()
+    return SharedCounts(aggregate, brand_names(cases, registry.scope(params.scope), taxonomy))
