@@ -75,14 +75,14 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> ScopeRegistry:
-    # Months are bounded on the event date as well, which is the form that reaches the scan.
+    # Months are bounded by the event date, which is the form that reaches the scan.
     return (
         ScopeRegistry()
         .add(1000)
         .add(8006, "channel = 'digital'", parent=1000)
         .add(9006, "channel = 'traditional'", parent=1000)
-        .add(8106, "month < DATE'1999-01-01' AND event_date < DATE'1999-01-01'", parent=8006)
-        .add(9106, "month >= DATE'1997-01-01' AND event_date >= DATE'1997-01-01'", parent=9006)
+        .add(8106, "event_date < DATE'1999-01-01'", parent=8006)
+        .add(9106, "event_date >= DATE'1997-01-01'", parent=9006)
     )
 
 
@@ -93,7 +93,7 @@ def many_scopes(count: int) -> tuple[ScopeRegistry, list[int]]:
     for at in range(count - len(ids)):
         channel = (8006, 9006)[at % 2]
         first = 1995 + at // 2 % 7
-        condition = f"month >= DATE'{first}-01-01' AND month < DATE'{first + 1 + at // 14}-01-01'"
+        condition = f"event_date >= DATE'{first}-01-01' AND event_date < DATE'{first + 1 + at // 14}-01-01'"
         scopes.add(20000 + at, condition, parent=channel)
         ids.append(20000 + at)
     return scopes, ids

@@ -17,13 +17,18 @@ SUBCAT2 = "subcat2"
 LINE = "line"
 VARIANT = "variant"
 
-# Optional: the day the case arrived. Where a table has it, month filters also bound this column,
-# because Catalyst can push a bound on a plain date to the scan but not one on trunc(date).
+# Optional: the day the case arrived, a day of ``month``. Where a table has it, month filters bound
+# this column, because Catalyst can push a bound on a plain date to the scan but not one on
+# trunc(date).
 EVENT_DATE = "event_date"
 
 TOTAL = "total"
 SCOPE_ID = "scope_id"
 
+# Which months of a pack a count is for: all of its range, or its first or last month alone.
+MONTHS = "months"
+RANGE, FIRST, LAST = "range", "first", "last"
+
 CASE_SCHEMA = T.StructType(
     [T.StructField(MONTH, T.DateType(), False)]
     + [
@@ -78,12 +83,8 @@ class ReportParams:
         return Period.of(self.start, self.end)
 
     @property
-    def first_month(self) -> Period:
-        return Period.month(self.start)
-
-    @property
-    def last_month(self) -> Period:
-        return Period.month(self.end)
+    def months(self) -> dict[str, Period]:
+        return {RANGE: self.period, FIRST: Period.month(self.start), LAST: Period.month(self.end)}
 
     @property
     def channel_period(self) -> Period | None:

@@ -6,10 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scopelens.functions.months import month_label
-from scopelens.model import BRAND, CASE_TYPE, MONTH, REASON, SUBCAT2, TOTAL, ReportParams
-from scopelens.operators.aggregate import count_rows
-from scopelens.operators.filters import in_period
+from scopelens.model import BRAND, FIRST, LAST, MONTH, MONTHS, RANGE, REASON, SUBCAT2, TOTAL, CASE_TYPE, ReportParams
 from scopelens.operators.sets import union_all
 from scopelens.plans.counts import scope_counts
 from scopelens.plans.reports import (
@@ -28,7 +25,7 @@ from scopelens.plans.reports import (
     top_subcat2_from,
     type_breakdown_from,
 )
-from scopelens.plans.shared_pass import DIGITAL, FIRST, LAST, RANGE, TRADITIONAL, shared_pass
+from scopelens.plans.shared_pass import DIGITAL, TRADITIONAL, SharedCounts, shared_pass
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
 
@@ -50,13 +47,14 @@ FULL_PACK = (
 SUMMARY_PACK = ("channel_evolution", "type_breakdown", "type_breakdown_first", "type_breakdown_last")
 
 # Sheets a pack leaves out when they have no rows; the others are then written empty.
-SKIPPED_IF_EMPTY = ("channel_evolution", *[sheet for sheet in FULL_PACK[7:]])
+SKIPPED_IF_EMPTY = ("channel_evolution", *FULL_PACK[7:])
 
-MEASURE_OF = {"first": FIRST, "last": LAST}
+CHANNELS = "channel_evolution"
+BY = (MONTHS,)
 
 
 class DirectCounts:
-    """The counted cases of one pack, each report from a scan of its own."""
+    """The counted cases of one pack, every count from a scan of its own."""
 
     def __init__(self, cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy) -> None:
         self._cases = cases
@@ -65,10 +63,14 @@ class DirectCounts:
         self._params = params
         self._taxonomy = taxonomy
 
-    def counts(self, keys: Sequence[str], measure: str) -> DataFrame:
-        params = self._params
-        period = {RANGE: params.period, LAST: params.last_month, FIRST: params.first_month}[measure]
-        return scope_counts(self._cases, self._scope, keys, period)
+    def counts(self, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
+        periods = self._params.months
+        return union_all(
+            [
+                scope_counts(self._cases, self._scope, keys, periods[name]).withColumn(MONTHS, F.lit(name))
+                for name in months
+            ]
+        )
 
     def channels(self) -> DataFrame:
         params = self._params
@@ -80,6 +82,42 @@ class DirectCounts:
         return brand_names(self._cases, self._scope, self._taxonomy)
 
 
+def pack_reports(
+    source: SharedCounts | DirectCounts,
+    sheets: Sequence[str],
+    top: int = 10,
+    taxonomy: Taxonomy = PORTUGUESE,
+    style: str = "title",
+) -> dict[str, DataFrame]:
+    """The reports behind the sheets, each for all its months at once (column ``months``)."""
+    kinds, pairs, lines = KIND_KEYS, PAIR_KEYS, LINE_KEYS
+
+    def brands(months: Sequence[str]) -> DataFrame:
+        named = F.explode(F.array(*[F.lit(name) for name in months]))
+        return source.brands().withColumn(MONTHS, named)
+
+    make: dict[str, Callable[[Sequence[str]], DataFrame]] = {
+        CHANNELS: lambda m: channel_evolution_from(source.channels(), taxonomy),
+        "type_breakdown": lambda m: type_breakdown_from(source.counts(kinds, m), BY, taxonomy, style=style),
+        "complaint_pareto": lambda m: complaint_pareto_from(source.counts(kinds, m), BY, top, taxonomy),
+        "other_pareto": lambda m: other_pareto_from(source.counts(kinds, m), BY, top, taxonomy),
+        "category_brand": lambda m: category_by_brand_long_from(source.counts(pairs, m), brands(m), BY, taxonomy),
+        "line_variant": lambda m: top_line_variant_from(source.counts(lines, m), BY, top, taxonomy),
+        "subcat2": lambda m: top_subcat2_from(source.counts(SUBCAT2_KEYS, m), BY, top, taxonomy),
+    }
+    asked: dict[str, list[str]] = {}
+    for sheet in sheets:
+        report, months = sheet_report(sheet)
+        asked.setdefault(report, []).append(months)
+    return {report: make[report](months) for report, months in asked.items()}
+
+
+def sheet_report(sheet: str) -> tuple[str, str]:
+    """The report of a sheet and the months it is for."""
+    report, _, months = sheet.rpartition("_")
+    return (report, months) if months in (FIRST, LAST) else (sheet, RANGE)
+
+
 def report_sheets(
     cases: DataFrame,
     registry: ScopeRegistry,
@@ -89,33 +127,14 @@ def report_sheets(
     shared: bool = True,
     style: str = "title",
 ) -> dict[str, DataFrame]:
-    """The frames of a pack by sheet, from one shared pass or each on its own."""
-    make = shared_pass if shared else DirectCounts
-    source = make(cases, registry, params, taxonomy)
-    top = params.top
-
-    def types(m: str) -> DataFrame:
-        keys = KIND_KEYS if shared else KIND_KEYS[:2]
-        return type_breakdown_from(source.counts(keys, m), (), taxonomy, style=style)
-
-    reports: dict[str, Callable[[str], DataFrame]] = {
-        "channel_evolution": lambda m: channel_evolution_from(source.channels(), taxonomy),
-        "type_breakdown": types,
-        "complaint_pareto": lambda m: complaint_pareto_from(source.counts(KIND_KEYS, m), (), top, taxonomy),
-        "other_pareto": lambda m: other_pareto_from(source.counts(KIND_KEYS, m), (), top, taxonomy),
-        "category_brand": lambda m: category_by_brand_long_from(
-            source.counts(PAIR_KEYS, m), source.brands(), (), taxonomy
-        ),
-        "line_variant": lambda m: top_line_variant_from(source.counts(LINE_KEYS, m), (), top, taxonomy),
-        "subcat2": lambda m: top_subcat2_from(source.counts(SUBCAT2_KEYS, m), (), top, taxonomy),
-    }
-    built = {}
+    """The frames of a pack by sheet, from one shared pass or from a scan for each count."""
+    reports = pack_reports(_source(cases, registry, params, taxonomy, shared), sheets, params.top, taxonomy, style)
+    frames = {}
     for sheet in sheets:
-        report, _, month = sheet.rpartition("_")
-        if month not in MEASURE_OF:
-            report, month = sheet, ""
-        built[sheet] = reports[report](MEASURE_OF.get(month, RANGE))
-    return built
+        report, months = sheet_report(sheet)
+        frame = reports[report]
+        frames[sheet] = frame if report == CHANNELS else frame.where(F.col(MONTHS) == months).drop(MONTHS)
+    return frames
 
 
 def report_pack(
@@ -127,52 +146,62 @@ def report_pack(
     shared: bool = True,
     style: str = "title",
 ) -> DataFrame:
-    """A pack as one long table: sheet, position, label, series, value."""
-    return long_table(report_sheets(cases, registry, params, taxonomy, sheets, shared, style), taxonomy)
-
+    """A pack as one long table: sheet, position, label, series, value.
 
-def long_table(sheets: dict[str, DataFrame], taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
-    """Sheets of different shape in one.
-
-    Reading order is by ``position``, NULL last, then ``label``. Positions of a sheet ascend but
+    Sheets are read in the order of ``position``, NULL last, then ``label``. Positions ascend but
     need not be consecutive, so no sheet has to be numbered row by row.
     """
-    parts = []
-    for sheet, frame in sheets.items():
-        long = _long(frame, taxonomy)
-        parts.append(long.select(F.lit(sheet).alias("sheet"), "position", "label", "series", "value"))
-    return union_all(parts)
+    reports = pack_reports(_source(cases, registry, params, taxonomy, shared), sheets, params.top, taxonomy, style)
+    return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
+
+
+def _source(
+    cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy, shared: bool
+) -> SharedCounts | DirectCounts:
+    return (shared_pass if shared else DirectCounts)(cases, registry, params, taxonomy)
 
 
-def _long(frame: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    columns = frame.columns
-    if MONTH in columns:
+def long_form(report: str, frame: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
+    if report == CHANNELS:
         position = F.year(MONTH) * 12 + F.month(MONTH)
-        return _series(frame, position, F.col("month_label"), [TRADITIONAL, DIGITAL])
-    if CASE_TYPE in columns:
-        return _series(frame, F.col("rank"), F.col(CASE_TYPE), [TOTAL, "share"])
-    if REASON in columns:
-        return _series(frame, F.col("rank"), F.col(REASON), [TOTAL, "cum_share"])
-    if "line_variant" in columns or SUBCAT2 in columns:
-        label = "line_variant" if "line_variant" in columns else SUBCAT2
-        return _series(frame, F.col("rank"), F.col(label), [TOTAL])
-    return _category_series(frame, taxonomy)
-
-
-def _series(frame: DataFrame, position: Column, label: Column, values: Sequence[str]) -> DataFrame:
+        return _series(report, frame, position, "month_label", [TRADITIONAL, DIGITAL])
+    if report == "category_brand":
+        return _category_series(report, frame, taxonomy)
+    label, values = {
+        "type_breakdown": (CASE_TYPE, [TOTAL, "share"]),
+        "complaint_pareto": (REASON, [TOTAL, "cum_share"]),
+        "other_pareto": (REASON, [TOTAL, "cum_share"]),
+        "line_variant": ("line_variant", [TOTAL]),
+        "subcat2": (SUBCAT2, [TOTAL]),
+    }[report]
+    return _series(report, frame, F.col("rank"), label, values)
+
+
+def _sheet(report: str, frame: DataFrame) -> Column:
+    if MONTHS not in frame.columns:
+        return F.lit(report)
+    return F.when(F.col(MONTHS) == RANGE, report).otherwise(F.concat(F.lit(f"{report}_"), F.col(MONTHS)))
+
+
+def _series(report: str, frame: DataFrame, position: Column, label: str, values: Sequence[str]) -> DataFrame:
     wide = frame.select(
-        position.cast("long").alias("position"), label.alias("label"), *[F.col(v).cast("double") for v in values]
+        _sheet(report, frame).alias("sheet"),
+        position.cast("long").alias("position"),
+        F.col(label).alias("label"),
+        *[F.col(value).cast("double") for value in values],
     )
-    return wide.unpivot(["position", "label"], list(values), "series", "value")
+    return wide.unpivot(["sheet", "position", "label"], list(values), "series", "value")
 
 
-def _category_series(cells: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def _category_series(report: str, cells: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Brands are the series. Categories are ordered by the first brand's count, largest first."""
+    by = list(BY)
     order = F.struct((F.col(BRAND) == title_last(taxonomy)).alias("last"), F.col(BRAND).alias("name"))
     first = cells.where(F.col(BRAND).isNotNull()).agg(F.min(order)["name"]).scalar()
     leading = F.coalesce(F.sum(F.when(F.col(BRAND) == first, F.col(TOTAL))), F.lit(0))
-    positions = cells.groupBy("category").agg((-leading).alias("position")).where(F.col("category").isNotNull())
-    return cells.join(positions, "category", "left").select(
+    positions = cells.groupBy(*by, "category").agg((-leading).alias("position"))
+    return cells.join(positions, [*by, "category"], "left").select(
+        _sheet(report, cells).alias("sheet"),
         F.col("position").cast("long").alias("position"),
         F.col("category").alias("label"),
         F.col(BRAND).alias("series"),

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scopelens.functions.months import within
-from scopelens.model import BRAND, MONTH, SUBCAT2, TOTAL, Period, ReportParams
-from scopelens.plans.reports import KIND_KEYS, LINE_KEYS, PAIR_KEYS, SUBCAT2_KEYS, brand_names, shown_brands
+from scopelens.model import FIRST, LAST, MONTH, MONTHS, RANGE, TOTAL, Period, ReportParams
+from scopelens.plans.reports import KIND_KEYS, LINE_KEYS, PAIR_KEYS, SUBCAT2_KEYS, brand_names
 from scopelens.session import ensure_checkpoint_dir
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
@@ -24,7 +24,6 @@ MONTH_KEYS = (MONTH,)
 KEY_SETS = (MONTH_KEYS, KIND_KEYS, PAIR_KEYS, LINE_KEYS, SUBCAT2_KEYS)
 KEYS = tuple(dict.fromkeys(name for keys in KEY_SETS for name in keys))
 
-RANGE, LAST, FIRST = "in_range", "in_last", "in_first"
 TRADITIONAL, DIGITAL = "traditional", "digital"
 
 
@@ -40,13 +39,13 @@ class SharedCounts:
         self.aggregate = aggregate
         self._brands = brands
 
-    def counts(self, keys: Sequence[str], measure: str) -> DataFrame:
-        """As ``count_rows`` gives for the scope and the months of the measure.
+    def counts(self, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
+        """As ``count_rows`` gives for the scope, for each of the asked months.
 
         Sets are told apart by number, never by NULL keys: labels can be NULL too.
         """
-        chosen = self.aggregate.where((F.col("key_set") == set_number(keys)) & (F.col(measure) > 0))
-        return chosen.select(*keys, F.col(measure).alias(TOTAL))
+        chosen = self.aggregate.where(F.col("key_set") == set_number(keys)).select(*keys, *months)
+        return chosen.unpivot(list(keys), list(months), MONTHS, TOTAL).where(F.col(TOTAL) > 0)
 
     def channels(self) -> DataFrame:
         return self.aggregate.where(F.col("key_set") == set_number(MONTH_KEYS)).select(MONTH, TRADITIONAL, DIGITAL)
@@ -58,15 +57,9 @@ class SharedCounts:
 def flags(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> dict[str, Column]:
     """What a case counts for. A condition that is NULL does not count."""
     scope = registry.scope(params.scope).predicate
-
-    def months(period: Period | None) -> Column:
-        return F.lit(True) if period is None else within(period, cases.columns)
-
-    channel = months(params.channel_period)
+    channel = F.lit(True) if params.channel_period is None else within(params.channel_period, cases.columns)
     conditions = {
-        RANGE: scope & months(params.period),
-        LAST: scope & months(params.last_month),
-        FIRST: scope & months(params.first_month),
+        **{name: scope & within(params.months[name], cases.columns) for name in (RANGE, FIRST, LAST)},
         TRADITIONAL: registry.scope(params.traditional_scope).predicate & channel,
         DIGITAL: registry.scope(params.digital_scope).predicate & channel,
     }
@@ -95,7 +88,9 @@ def shared_pass(
 
     Without that cut each report's filter on its own key set would be pushed below the aggregate,
     and every report would scan the cases again. From there a lost executor costs no second scan.
+    The brand list has no date filter, so it is a narrow scan of its own, kept the same way.
     """
     ensure_checkpoint_dir(cases.sparkSession)
     aggregate = shared_aggregate(cases, registry, params).checkpoint()
-    return SharedCounts(aggregate, brand_names(cases, registry.scope(params.scope), taxonomy))
+    brands = brand_names(cases, registry.scope(params.scope), taxonomy).checkpoint()
+    return SharedCounts(aggregate, brands)
