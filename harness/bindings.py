@@ -86,14 +86,12 @@ def registry() -> ScopeRegistry:
     )
 
 
-def many_scopes(count: int) -> tuple[ScopeRegistry, list[int]]:
+def many_scopes(count: int, declared: bool = True) -> tuple[ScopeRegistry, list[int]]:
     """A registry of ``count`` overlapping scopes: a channel, or a run of years within one."""
-    scopes = registry()
-    ids = [1000, 8006, 9006, 8106, 9106][:count]
-    for at in range(count - len(ids)):
-        channel = (8006, 9006)[at % 2]
+    scopes = ScopeRegistry(("channel", "month") if declared else ())
+    scopes.add(1000).add(8006, "channel = 'digital'", parent=1000).add(9006, "channel = 'traditional'", parent=1000)
+    for at in range(count - 3):
         first = 1995 + at // 2 % 7
-        condition = f"event_date >= DATE'{first}-01-01' AND event_date < DATE'{first + 1 + at // 14}-01-01'"
-        scopes.add(20000 + at, condition, parent=channel)
-        ids.append(20000 + at)
-    return scopes, ids
+        condition = f"month >= DATE'{first}-01-01' AND month < DATE'{first + 1 + at // 14}-01-01'"
+        scopes.add(20000 + at, condition, parent=(8006, 9006)[at % 2])
+    return scopes, scopes.ids()[:count]

@@ -91,11 +91,17 @@ def multi_scope_types(spark, d):
 
 
 def multi_scope_total(spark, d):
-    """More scopes than one membership word holds."""
+    """A hundred scopes, counted by the columns they are confined to."""
     known, ids = many_scopes(100)
     return reports.total_cases(cases(spark, d), known.scopes(ids), START, END)
 
 
+def multi_scope_total_by_case(spark, d):
+    """The same from conditions evaluated on every case."""
+    known, ids = many_scopes(100, declared=False)
+    return reports.total_cases(cases(spark, d), known.scopes(ids), START, END)
+
+
 # Filters
 
 
@@ -438,6 +444,7 @@ QUERIES: dict[str, Query] = {
         multi_scope_complaints,
         multi_scope_types,
         multi_scope_total,
+        multi_scope_total_by_case,
         month_start,
         filter_month_range,
         filter_single_month,

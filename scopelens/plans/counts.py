@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from scopelens.model import SCOPE_ID, Period
+from scopelens.model import SCOPE_ID, TOTAL, Period
 from scopelens.operators.aggregate import count_rows
 from scopelens.operators.filters import in_period
-from scopelens.sources.scopes import Scope, any_scope, explode_membership, membership
+from scopelens.sources.scopes import Scope, covering, explode_membership, membership
 
 Scopes = Scope | Sequence[Scope]
 
@@ -28,8 +28,8 @@ def scope_counts(
 ) -> DataFrame:
     """Cases of a period counted by raw columns, in one scan however many scopes there are.
 
-    With a list of scopes a combination of keys can come in several rows of a scope, one for each
-    set of scopes its cases share; whatever sums them by label also joins these.
+    With a list of scopes a combination of keys can come in several rows of a scope, which differ in
+    what else their cases belong to; whatever sums them by label also joins these.
     """
     rows = in_period(cases, period)
     if condition is not None:
@@ -37,5 +37,10 @@ def scope_counts(
     if isinstance(scope, Scope):
         return count_rows(rows.where(scope.predicate), keys)
     words = membership(scope)
-    counts = count_rows(rows.where(any_scope(scope)).withColumns(words), [*words, *keys])
-    return explode_membership(counts, scope)
+    rows = rows.where(covering(scope))
+    dimensions = scope[0].dimensions
+    if dimensions:
+        counts = count_rows(rows, list(dict.fromkeys([*dimensions, *keys]))).withColumns(words)
+    else:
+        counts = count_rows(rows.withColumns(words), [*words, *keys])
+    return explode_membership(counts, scope).select(SCOPE_ID, *keys, TOTAL)

@@ -18,19 +18,28 @@ WORD_BITS = 60
 
 @dataclass(frozen=True)
 class Scope:
+    """A scope with its conditions from the root down, and the columns these are confined to."""
+
     scope_id: int
     conditions: tuple[str, ...]
+    dimensions: tuple[str, ...] = ()
 
     @property
     def predicate(self) -> Column:
-        """Every condition from the root down. A case is in the scope if all of them are true."""
+        """A case is in the scope if all conditions are true."""
         return reduce(operator.and_, [F.expr(c) for c in self.conditions], F.lit(True))
 
 
 class ScopeRegistry:
-    """Scope definitions: a SQL condition over case columns, and the scope it narrows."""
+    """Scope definitions: a SQL condition over case columns, and the scope it narrows.
+
+    ``dimensions`` may name the columns all conditions are confined to, if these have few values
+    (month, channel, region). Many scopes are then told apart after counting by these columns,
+    which takes the conditions from once per case to once per group.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, dimensions: Sequence[str] = ()) -> None:
+        self._dimensions = tuple(dimensions)
         self._nodes: dict[int, tuple[int | None, str | None]] = {}
 
     def add(self, scope_id: int, condition: str | None = None, parent: int | None = None) -> ScopeRegistry:
@@ -53,7 +62,7 @@ class ScopeRegistry:
             at, condition = self._nodes[at]
             if condition:
                 conditions.append(condition)
-        return Scope(scope_id, tuple(reversed(conditions)))
+        return Scope(scope_id, tuple(reversed(conditions)), self._dimensions)
 
     def scopes(self, scope_ids: Iterable[int]) -> list[Scope]:
         return [self.scope(scope_id) for scope_id in scope_ids]
@@ -67,30 +76,54 @@ def any_scope(scopes: Sequence[Scope]) -> Column:
     return reduce(operator.or_, [scope.predicate for scope in scopes])
 
 
+def covering(scopes: Sequence[Scope]) -> Column:
+    """A cheap condition that every case of any of the scopes meets, for the scan.
+
+    A scope lies within its root, so the roots' conditions do; many scopes share few roots.
+    """
+    if not all(scope.conditions for scope in scopes):
+        return F.lit(True)
+    roots = dict.fromkeys(scope.conditions[0] for scope in scopes)
+    return reduce(operator.or_, [F.expr(condition) for condition in roots])
+
+
+def distinct_conditions(scopes: Sequence[Scope]) -> list[str]:
+    return list(dict.fromkeys(condition for scope in scopes for condition in scope.conditions))
+
+
 def membership(scopes: Sequence[Scope]) -> dict[str, Column]:
-    """Which scopes a case is in, one bit each, as a few long columns.
+    """Which of the scopes' conditions a case meets, one bit each, as a few long columns.
 
     Cases are counted by these words, and only the counts are copied to each scope. Exploding the
-    cases instead would copy every case once per scope it is in.
+    cases instead would copy every case once per scope it is in. Conditions that scopes share, as
+    all children share their parents', are evaluated once.
     """
+    conditions = distinct_conditions(scopes)
     words = {}
-    for at in range(0, len(scopes), WORD_BITS):
+    for at in range(0, len(conditions), WORD_BITS):
         bits = [
-            F.when(scope.predicate, F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
-            for place, scope in enumerate(scopes[at : at + WORD_BITS])
+            f"if({condition}, {1 << place}L, 0L)"
+            for place, condition in enumerate(conditions[at : at + WORD_BITS])
         ]
-        words[f"_scopes_{at // WORD_BITS}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
+        words[f"_scopes_{at // WORD_BITS}"] = F.expr(" | ".join(bits))
     return words
 
 
 def explode_membership(counts: DataFrame, scopes: Sequence[Scope]) -> DataFrame:
     """Counted rows with membership words, as one row for each scope they belong to."""
-    words = [f"_scopes_{at}" for at in range(-(-len(scopes) // WORD_BITS))]
-    ids = [
-        F.when(F.getbit(words[at // WORD_BITS], F.lit(at % WORD_BITS)) == 1, F.lit(scope.scope_id))
-        for at, scope in enumerate(scopes)
-    ]
-    return counts.withColumn(SCOPE_ID, F.explode(F.array_compact(F.array(*ids)))).drop(*words)
+    places = {condition: place for place, condition in enumerate(distinct_conditions(scopes))}
+    words = [f"_scopes_{at}" for at in range(-(-len(places) // WORD_BITS))]
+
+    def belongs(scope: Scope) -> str:
+        needed = dict.fromkeys(words, 0)
+        for condition in scope.conditions:
+            word, bit = divmod(places[condition], WORD_BITS)
+            needed[words[word]] |= 1 << bit
+        return " AND ".join(f"{word} & {mask}L = {mask}L" for word, mask in needed.items() if mask) or "true"
+
+    # One expression text: a hundred scopes would be thousands of calls as Column objects.
+    ids = ", ".join(f"if({belongs(scope)}, {scope.scope_id}, null)" for scope in scopes)
+    return counts.withColumn(SCOPE_ID, F.expr(f"explode(array_compact(array({ids})))")).drop(*words)
 
 
 def scope_label(catalogue: DataFrame, scope_id: int, name: str = "name") -> DataFrame:
