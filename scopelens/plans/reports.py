@@ -1,7 +1,8 @@
 """The reports.
 
 Each takes the cases, a scope and a period (``start`` and ``end``, or one ``month``) and returns
-one frame. Given a list of scopes it returns all their reports in one frame with a ``scope_id``.
+one frame, in report order. Given a list of scopes it returns all their reports in one frame with a
+``scope_id``, in no order: ``rank`` has it.
 The ``*_from`` functions make the same report from cases that are already counted.
 """
 
@@ -167,9 +168,10 @@ def type_breakdown_from(
     types = parts.groupBy(*by, "_part", fold(label).alias(CASE_TYPE)).agg(F.sum(TOTAL).alias(TOTAL))
     shares = share_of_total(types, by=by)
     rank = explicit_rank(F.col(CASE_TYPE), taxonomy.type_order).cast("int")
-    return shares.select(
+    report = shares.select(
         *by, LABEL_STYLES[style](F.col(CASE_TYPE)).alias(CASE_TYPE), TOTAL, rank.alias("rank"), "share"
-    ).orderBy(*by, F.col("rank").asc_nulls_last(), F.col(CASE_TYPE).asc_nulls_first())
+    )
+    return report if by else report.orderBy(F.col("rank").asc_nulls_last(), F.col(CASE_TYPE).asc_nulls_first())
 
 
 # Reasons
@@ -262,9 +264,8 @@ def pareto(
     ranked = top_n_with_remainder(labelled, REASON, remainder, n, by)
     order = report_order(REASON)
     shared = cumulative_share(row_numbers(ranked, order, by=by), order, by=by)
-    return shared.select(
-        *by, "rank", title_case(F.col(REASON)).alias(REASON), TOTAL, "cum_share", BUCKET
-    ).orderBy(*by, "rank")
+    report = shared.select(*by, "rank", title_case(F.col(REASON)).alias(REASON), TOTAL, "cum_share", BUCKET)
+    return report if by else report.orderBy("rank")
 
 
 # Categories by brand
@@ -276,9 +277,9 @@ def brand_names(cases: DataFrame, scope: Scopes, taxonomy: Taxonomy = PORTUGUESE
     return shown_brands(distinct_labels(cases.where(chosen), BRAND), taxonomy)
 
 
-def shown_brands(brands: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
+def shown_brands(brands: DataFrame, taxonomy: Taxonomy = PORTUGUESE, by: Sequence[str] = ()) -> DataFrame:
     shown = brand_label(F.col(BRAND), taxonomy.catch_all_brand, taxonomy.catch_all_label)
-    return brands.where(F.col(BRAND).isNotNull()).select(title_case(shown).alias(BRAND)).distinct()
+    return brands.where(F.col(BRAND).isNotNull()).select(*by, title_case(shown).alias(BRAND)).distinct()
 
 
 def category_by_brand(
@@ -314,40 +315,44 @@ def category_by_brand_long(
     A pair that is not listed counts 0. A category none of whose cases has a brand comes once with
     brand NULL and 0, a brand without cases in the period once with category NULL and 0.
     """
-    period = report_period(start, end, month)
-    counts = scope_counts(cases, scope, PAIR_KEYS, period)
+    counts = scope_counts(cases, scope, PAIR_KEYS, report_period(start, end, month))
     if isinstance(scope, Scope):
         return category_by_brand_long_from(counts, brand_names(cases, scope, taxonomy), (), taxonomy)
     by = by_columns(scope)
     ever = scope_counts(cases, scope, (BRAND,), None, F.col(BRAND).isNotNull())
-    shown = brand_label(F.col(BRAND), taxonomy.catch_all_brand, taxonomy.catch_all_label)
-    brands = ever.select(*by, title_case(shown).alias(BRAND)).distinct()
-    return category_by_brand_long_from(counts, brands, by, taxonomy)
+    return category_by_brand_long_from(counts, shown_brands(ever, taxonomy, by), by, taxonomy)
 
 
 def category_by_brand_long_from(
     counts: DataFrame, brands: DataFrame, by: Sequence[str] = (), taxonomy: Taxonomy = PORTUGUESE
 ) -> DataFrame:
+    # All parts read the pairs through their total alone: a filter or join on the brand itself would
+    # be pushed below the counting, and each part would scan the cases for itself.
     pairs = category_counts(counts, by, taxonomy)
-    zero = F.lit(0).cast("long").alias(TOTAL)
+    zero = F.lit(0).cast("long")
     missing = F.lit(None).cast("string")
-    cells = pairs.where(F.col(BRAND).isNotNull())
-    no_brand = pairs.groupBy(*by, "category").agg(F.count(BRAND).alias("_brands")).where(F.col("_brands") == 0)
-    no_case = brands.join(cells, [*by, BRAND], "left_anti")
+    cells = pairs.where(F.col(TOTAL).isNotNull())
+    no_brand = pairs.groupBy(*by, "category").agg(F.sum(TOTAL).alias(TOTAL)).where(F.col(TOTAL).isNull())
+    listed = brands.select(*by, BRAND, zero.alias(TOTAL)).unionByName(cells.select(*by, BRAND, TOTAL))
+    no_case = listed.groupBy(*by, BRAND).agg(F.sum(TOTAL).alias(TOTAL)).where(F.col(TOTAL) == 0)
     return (
         cells.select(*by, "category", BRAND, TOTAL)
-        .unionByName(no_brand.select(*by, "category", missing.alias(BRAND), zero))
-        .unionByName(no_case.select(*by, missing.alias("category"), BRAND, zero))
+        .unionByName(no_brand.select(*by, "category", missing.alias(BRAND), zero.alias(TOTAL)))
+        .unionByName(no_case.select(*by, missing.alias("category"), BRAND, zero.alias(TOTAL)))
     )
 
 
 def category_counts(counts: DataFrame, by: Sequence[str] = (), taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
-    """Counts by shown category and shown brand. Title case also joins the case variants."""
+    """Counts by shown category and shown brand; NULL, not a count, where there is no brand.
+
+    Title case also joins the case variants.
+    """
     category = default_label(F.col(SUBCAT1), taxonomy.default_subcat1)
     brand = brand_label(F.col(BRAND), taxonomy.catch_all_brand, taxonomy.catch_all_label)
+    branded = F.when(F.col(BRAND).isNotNull(), F.col(TOTAL))
     return counts.groupBy(
         *by, title_case(category).alias("category"), title_case(brand).alias(BRAND)
-    ).agg(F.sum(TOTAL).alias(TOTAL))
+    ).agg(F.sum(branded).alias(TOTAL))
 
 
 def title_last(taxonomy: Taxonomy) -> str:
@@ -401,11 +406,8 @@ def top_labels(counts: DataFrame, label: Column, name: str, n: int, by: Sequence
     labelled = counts.groupBy(*by, fold(label).alias(name)).agg(F.sum(TOTAL).alias(TOTAL))
     top = top_n(labelled, name, n, by)
     order = [F.col(TOTAL).desc(), F.col(name).asc_nulls_first()]
-    return (
-        row_numbers(top, order, by=by)
-        .select(*by, "rank", title_case(F.col(name)).alias(name), TOTAL)
-        .orderBy(*by, "rank")
-    )
+    report = row_numbers(top, order, by=by).select(*by, "rank", title_case(F.col(name)).alias(name), TOTAL)
+    return report if by else report.orderBy("rank")
 
 
 # Totals and captions

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scopelens.functions.months import within
-from scopelens.model import FIRST, LAST, MONTH, MONTHS, RANGE, TOTAL, Period, ReportParams
-from scopelens.plans.reports import KIND_KEYS, LINE_KEYS, PAIR_KEYS, SUBCAT2_KEYS, brand_names
+from scopelens.model import BRAND, FIRST, LAST, MONTH, MONTHS, RANGE, TOTAL, Period, ReportParams
+from scopelens.operators.aggregate import distinct_labels
+from scopelens.plans.reports import KIND_KEYS, LINE_KEYS, PAIR_KEYS, SUBCAT2_KEYS, shown_brands
 from scopelens.session import ensure_checkpoint_dir
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
@@ -32,26 +33,38 @@ def set_number(keys: Sequence[str]) -> int:
     return reduce(lambda bits, name: bits * 2 + (name not in keys), KEYS, 0)
 
 
+# Rows of the shared aggregate that list a brand, and count nothing.
+BRAND_LIST = -1
+
+# Up to this many rows of counts are kept in one partition, so that the reports shuffle nothing.
+SMALL = 50_000
+
+
 class SharedCounts:
     """The counted cases of one pack, read from the shared aggregate."""
 
-    def __init__(self, aggregate: DataFrame, brands: DataFrame) -> None:
+    def __init__(self, aggregate: DataFrame, taxonomy: Taxonomy = PORTUGUESE, small: bool = False) -> None:
         self.aggregate = aggregate
-        self._brands = brands
+        self._taxonomy = taxonomy
+        self._small = small
 
     def counts(self, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
         """As ``count_rows`` gives for the scope, for each of the asked months.
 
         Sets are told apart by number, never by NULL keys: labels can be NULL too.
         """
-        chosen = self.aggregate.where(F.col("key_set") == set_number(keys)).select(*keys, *months)
-        return chosen.unpivot(list(keys), list(months), MONTHS, TOTAL).where(F.col(TOTAL) > 0)
+        measures = F.array(*[F.struct(F.lit(name).alias(MONTHS), F.col(name).alias(TOTAL)) for name in months])
+        return self._set(set_number(keys)).select(*keys, F.inline(measures)).where(F.col(TOTAL) > 0)
 
     def channels(self) -> DataFrame:
-        return self.aggregate.where(F.col("key_set") == set_number(MONTH_KEYS)).select(MONTH, TRADITIONAL, DIGITAL)
+        return self._set(set_number(MONTH_KEYS)).select(MONTH, TRADITIONAL, DIGITAL)
 
     def brands(self) -> DataFrame:
-        return self._brands
+        return shown_brands(self._set(BRAND_LIST).select(BRAND), self._taxonomy)
+
+    def _set(self, number: int) -> DataFrame:
+        chosen = self.aggregate.where(F.col("key_set") == number)
+        return chosen.coalesce(1) if self._small else chosen
 
 
 def flags(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> dict[str, Column]:
@@ -81,6 +94,12 @@ def shared_aggregate(cases: DataFrame, registry: ScopeRegistry, params: ReportPa
     )
 
 
+def brand_list(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> DataFrame:
+    """The scope's brands over all months, in the shape of the aggregate: a narrow scan of its own."""
+    chosen = distinct_labels(cases.where(registry.scope(params.scope).predicate), BRAND)
+    return chosen.withColumn("key_set", F.lit(BRAND_LIST).cast("long"))
+
+
 def shared_pass(
     cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy = PORTUGUESE
 ) -> SharedCounts:
@@ -88,9 +107,10 @@ def shared_pass(
 
     Without that cut each report's filter on its own key set would be pushed below the aggregate,
     and every report would scan the cases again. From there a lost executor costs no second scan.
-    The brand list has no date filter, so it is a narrow scan of its own, kept the same way.
+    A small result is read as one partition; a larger one stays distributed.
     """
     ensure_checkpoint_dir(cases.sparkSession)
-    aggregate = shared_aggregate(cases, registry, params).checkpoint()
-    brands = brand_names(cases, registry.scope(params.scope), taxonomy).checkpoint()
-    return SharedCounts(aggregate, brands)
+    counted = shared_aggregate(cases, registry, params)
+    kept = counted.unionByName(brand_list(cases, registry, params), allowMissingColumns=True).checkpoint()
+    small = kept.limit(SMALL + 1).count() <= SMALL
+    return SharedCounts(kept, taxonomy, small)
