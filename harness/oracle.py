@@ -393,6 +393,7 @@ ORACLE: dict[str, str] = {
     "r_channel_evolution": channel_report(),
     "r_total_cases": select("count(*) AS total", PERIOD),
     "r_report_pack": full_pack(),
+    "r_report_pack_per_key_set": full_pack(),
     "r_report_pack_direct": full_pack(),
     "r_type_breakdown": breakdown(PERIOD),
     "r_type_breakdown_last": breakdown(LAST),

@@ -24,6 +24,7 @@ from scopelens.functions import labels, months
 from scopelens.model import CASE_SCHEMA, TOTAL
 from scopelens.operators import aggregate, filters, joins, pivot, rank, sets
 from scopelens.plans import pack, reports
+from scopelens.plans.shared_counts import PER_KEY_SET
 from scopelens.sources import scopes as scope_source
 from scopelens.sources.sinks import manifest
 
@@ -66,12 +67,12 @@ def scope_label(spark, d):
 
 def report_long(spark, d):
     return pack.report_pack(
-        cases(spark, d), registry(), PARAMS, TAXONOMY, pack.SUMMARY_PACK, shared=False, style="capitalize"
+        cases(spark, d), registry(), PARAMS, TAXONOMY, pack.SUMMARY_PACK, pack.PER_REPORT, style="capitalize"
     )
 
 
 def report_manifest(spark, d):
-    report = pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, pack.SUMMARY_PACK, shared=False)
+    report = pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, pack.SUMMARY_PACK)
     return manifest(report, [*pack.SUMMARY_PACK, "subcat2", "complaint_pareto"], pack.SKIPPED_IF_EMPTY)
 
 
@@ -428,8 +429,12 @@ def r_report_pack(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY)
 
 
+def r_report_pack_per_key_set(spark, d):
+    return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=PER_KEY_SET)
+
+
 def r_report_pack_direct(spark, d):
-    return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, shared=False)
+    return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=pack.PER_REPORT)
 
 
 QUERIES: dict[str, Query] = {
@@ -495,6 +500,7 @@ QUERIES: dict[str, Query] = {
         r_channel_evolution,
         r_total_cases,
         r_report_pack,
+        r_report_pack_per_key_set,
         r_report_pack_direct,
     )
 } | {

@@ -11,8 +11,8 @@ from scopelens.functions.labels import fold, map_value
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    """Duplicates are kept."""
-    return reduce(DataFrame.unionByName, parts)
+    """Duplicates are kept. A column that a part lacks is NULL there."""
+    return reduce(lambda above, below: above.unionByName(below, allowMissingColumns=True), parts)
 
 
 def present_in_order(df: DataFrame, column: str, expected: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from scopelens.plans.reports import (
     LINE_KEYS,
     PAIR_KEYS,
     SUBCAT2_KEYS,
+    TYPE_KEYS,
     brand_names,
     category_by_brand_long_from,
     channel_evolution,
@@ -25,7 +26,7 @@ from scopelens.plans.reports import (
     top_subcat2_from,
     type_breakdown_from,
 )
-from scopelens.plans.shared_pass import DIGITAL, TRADITIONAL, SharedCounts, shared_pass
+from scopelens.plans.shared_counts import DIGITAL, ONE_PASS, TRADITIONAL, KeySet, SharedCounts, shared_counts
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
 
@@ -49,9 +50,12 @@ SUMMARY_PACK = ("channel_evolution", "type_breakdown", "type_breakdown_first", "
 # Sheets a pack leaves out when they have no rows; the others are then written empty.
 SKIPPED_IF_EMPTY = ("channel_evolution", *FULL_PACK[7:])
 
-CHANNELS = "channel_evolution"
+CHANNELS, CATEGORIES = "channel_evolution", "category_brand"
 BY = (MONTHS,)
 
+# Every report from a scan of its own, as single reports are made.
+PER_REPORT = "per_report"
+
 
 class DirectCounts:
     """The counted cases of one pack, every count from a scan of its own."""
@@ -82,6 +86,29 @@ class DirectCounts:
         return brand_names(self._cases, self._scope, self._taxonomy)
 
 
+def asked_reports(sheets: Sequence[str]) -> dict[str, list[str]]:
+    """The reports behind the sheets, with the months each is for."""
+    asked: dict[str, list[str]] = {}
+    for sheet in sheets:
+        report, months = sheet_report(sheet)
+        asked.setdefault(report, []).append(months)
+    return asked
+
+
+def report_keys(sheets: Sequence[str]) -> dict[str, KeySet]:
+    """The grouping columns each report is made from; reports on reasons share theirs with types."""
+    reasons = {"complaint_pareto", "other_pareto"} & set(asked_reports(sheets))
+    kinds = KIND_KEYS if reasons else TYPE_KEYS
+    return {
+        "type_breakdown": kinds,
+        "complaint_pareto": kinds,
+        "other_pareto": kinds,
+        CATEGORIES: PAIR_KEYS,
+        "line_variant": LINE_KEYS,
+        "subcat2": SUBCAT2_KEYS,
+    }
+
+
 def pack_reports(
     source: SharedCounts | DirectCounts,
     sheets: Sequence[str],
@@ -90,26 +117,28 @@ def pack_reports(
     style: str = "title",
 ) -> dict[str, DataFrame]:
     """The reports behind the sheets, each for all its months at once (column ``months``)."""
-    kinds, pairs, lines = KIND_KEYS, PAIR_KEYS, LINE_KEYS
+    keys = report_keys(sheets)
+
+    def counts(report: str, months: Sequence[str]) -> DataFrame:
+        return source.counts(keys[report], months)
 
     def brands(months: Sequence[str]) -> DataFrame:
         named = F.explode(F.array(*[F.lit(name) for name in months]))
         return source.brands().withColumn(MONTHS, named)
 
-    make: dict[str, Callable[[Sequence[str]], DataFrame]] = {
-        CHANNELS: lambda m: channel_evolution_from(source.channels(), taxonomy),
-        "type_breakdown": lambda m: type_breakdown_from(source.counts(kinds, m), BY, taxonomy, style=style),
-        "complaint_pareto": lambda m: complaint_pareto_from(source.counts(kinds, m), BY, top, taxonomy),
-        "other_pareto": lambda m: other_pareto_from(source.counts(kinds, m), BY, top, taxonomy),
-        "category_brand": lambda m: category_by_brand_long_from(source.counts(pairs, m), brands(m), BY, taxonomy),
-        "line_variant": lambda m: top_line_variant_from(source.counts(lines, m), BY, top, taxonomy),
-        "subcat2": lambda m: top_subcat2_from(source.counts(SUBCAT2_KEYS, m), BY, top, taxonomy),
+    def categories(report: str, months: Sequence[str]) -> DataFrame:
+        return category_by_brand_long_from(counts(report, months), brands(months), BY, taxonomy)
+
+    make: dict[str, Callable[[str, Sequence[str]], DataFrame]] = {
+        CHANNELS: lambda r, m: channel_evolution_from(source.channels(), taxonomy),
+        "type_breakdown": lambda r, m: type_breakdown_from(counts(r, m), BY, taxonomy, style=style),
+        "complaint_pareto": lambda r, m: complaint_pareto_from(counts(r, m), BY, top, taxonomy),
+        "other_pareto": lambda r, m: other_pareto_from(counts(r, m), BY, top, taxonomy),
+        CATEGORIES: categories,
+        "line_variant": lambda r, m: top_line_variant_from(counts(r, m), BY, top, taxonomy),
+        "subcat2": lambda r, m: top_subcat2_from(counts(r, m), BY, top, taxonomy),
     }
-    asked: dict[str, list[str]] = {}
-    for sheet in sheets:
-        report, months = sheet_report(sheet)
-        asked.setdefault(report, []).append(months)
-    return {report: make[report](months) for report, months in asked.items()}
+    return {report: make[report](report, months) for report, months in asked_reports(sheets).items()}
 
 
 def sheet_report(sheet: str) -> tuple[str, str]:
@@ -124,11 +153,16 @@ def report_sheets(
     params: ReportParams,
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    shared: bool = True,
+    counting: str = ONE_PASS,
     style: str = "title",
 ) -> dict[str, DataFrame]:
-    """The frames of a pack by sheet, from one shared pass or from a scan for each count."""
-    reports = pack_reports(_source(cases, registry, params, taxonomy, shared), sheets, params.top, taxonomy, style)
+    """The frames of a pack by sheet.
+
+    ``counting`` says how the cases are read: ``one_pass`` where they are a join or otherwise costly
+    to produce, ``per_key_set`` where they are stored, ``per_report`` for every report by itself.
+    """
+    source = pack_source(cases, registry, params, taxonomy, sheets, counting)
+    reports = pack_reports(source, sheets, params.top, taxonomy, style)
     frames = {}
     for sheet in sheets:
         report, months = sheet_report(sheet)
@@ -143,7 +177,7 @@ def report_pack(
     params: ReportParams,
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    shared: bool = True,
+    counting: str = ONE_PASS,
     style: str = "title",
 ) -> DataFrame:
     """A pack as one long table: sheet, position, label, series, value.
@@ -151,21 +185,32 @@ def report_pack(
     Sheets are read in the order of ``position``, NULL last, then ``label``. Positions ascend but
     need not be consecutive, so no sheet has to be numbered row by row.
     """
-    reports = pack_reports(_source(cases, registry, params, taxonomy, shared), sheets, params.top, taxonomy, style)
+    source = pack_source(cases, registry, params, taxonomy, sheets, counting)
+    reports = pack_reports(source, sheets, params.top, taxonomy, style)
     return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
 
 
-def _source(
-    cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy, shared: bool
+def pack_source(
+    cases: DataFrame,
+    registry: ScopeRegistry,
+    params: ReportParams,
+    taxonomy: Taxonomy = PORTUGUESE,
+    sheets: Sequence[str] = FULL_PACK,
+    counting: str = ONE_PASS,
 ) -> SharedCounts | DirectCounts:
-    return (shared_pass if shared else DirectCounts)(cases, registry, params, taxonomy)
+    if counting == PER_REPORT:
+        return DirectCounts(cases, registry, params, taxonomy)
+    asked, keys = asked_reports(sheets), report_keys(sheets)
+    key_sets = list(dict.fromkeys(keys[report] for report in asked if report != CHANNELS))
+    channels, brands = CHANNELS in asked, CATEGORIES in asked
+    return shared_counts(cases, registry, params, key_sets, channels, brands, counting, taxonomy)
 
 
 def long_form(report: str, frame: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
     if report == CHANNELS:
         position = F.year(MONTH) * 12 + F.month(MONTH)
         return _series(report, frame, position, "month_label", [TRADITIONAL, DIGITAL])
-    if report == "category_brand":
+    if report == CATEGORIES:
         return _category_series(report, frame, taxonomy)
     label, values = {
         "type_breakdown": (CASE_TYPE, [TOTAL, "share"]),

@@ -60,7 +60,8 @@ from scopelens.plans.counts import Scopes, by_columns, scope_counts
 from scopelens.sources.scopes import Scope, any_scope
 from scopelens.vocabulary import PORTUGUESE, Caption, Taxonomy
 
-KIND_KEYS = (CASE_TYPE, CASE_GROUP, REASON)
+TYPE_KEYS = (CASE_TYPE, CASE_GROUP)
+KIND_KEYS = (*TYPE_KEYS, REASON)
 PAIR_KEYS = (SUBCAT1, BRAND)
 LINE_KEYS = (LINE, VARIANT)
 SUBCAT2_KEYS = (SUBCAT2,)
@@ -137,7 +138,7 @@ def type_breakdown(
     style: str = "title",
 ) -> DataFrame:
     period = report_period(start, end, month)
-    counts = scope_counts(cases, scope, (CASE_TYPE, CASE_GROUP), period)
+    counts = scope_counts(cases, scope, TYPE_KEYS, period)
     return type_breakdown_from(counts, by_columns(scope), taxonomy, include_unknown, style)
 
 

@@ -7,7 +7,7 @@ from scopelens.model import ReportParams
 from scopelens.operators.filters import in_month_range
 from scopelens.operators.joins import full_join_counts
 from scopelens.plans import pack, reports
-from scopelens.plans.shared_pass import shared_aggregate
+from scopelens.plans import shared_counts as sc
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.sources.sinks import manifest, write_report
 from scopelens.vocabulary import PORTUGUESE
@@ -221,16 +221,37 @@ def test_channels_of_an_empty_period(make_cases):
 PARAMS = ReportParams(1, 2, 3, "2024-01", "2024-03", "2023-12", "2024-02", top=3)
 
 
-@pytest.mark.parametrize("channel_range", [("2023-12", "2024-02"), (None, None), ("2024-01", None)])
+@pytest.mark.parametrize("channel_range", [("2023-12", "2024-02"), (None, None), ("2024-01", "2024-02")])
 @pytest.mark.parametrize("sheets", [pack.FULL_PACK, pack.SUMMARY_PACK])
-def test_shared_pass_equals_direct(make_cases, channel_range, sheets):
+def test_shared_counts_equal_direct(make_cases, channel_range, sheets):
     cases = sample(make_cases)
     params = ReportParams(1, 2, 3, "2024-01", "2024-03", *channel_range, top=3)
-    shared = pack.report_pack(cases, REGISTRY, params, sheets=sheets)
-    direct = pack.report_pack(cases, REGISTRY, params, sheets=sheets, shared=False)
-    assert sorted(tuples(shared), key=str) == sorted(tuples(direct), key=str)
+    direct = tuples(pack.report_pack(cases, REGISTRY, params, sheets=sheets, counting=pack.PER_REPORT))
     # The sample has no complaint in the last month, so that sheet has no rows.
-    assert {row[0] for row in tuples(direct)} == set(sheets) - {"complaint_pareto_last"}
+    assert {row[0] for row in direct} == set(sheets) - {"complaint_pareto_last"}
+    for counting in (sc.ONE_PASS, sc.PER_KEY_SET):
+        shared = pack.report_pack(cases, REGISTRY, params, sheets=sheets, counting=counting)
+        assert sorted(tuples(shared), key=str) == sorted(direct, key=str)
+
+
+def test_large_counts_stay_distributed(make_cases, monkeypatch):
+    cases = sample(make_cases)
+    small = tuples(pack.report_pack(cases, REGISTRY, PARAMS))
+    monkeypatch.setattr(sc, "SMALL", 3)
+    assert sorted(tuples(pack.report_pack(cases, REGISTRY, PARAMS)), key=str) == sorted(small, key=str)
+
+
+def test_one_sheet_alone(make_cases):
+    cases = sample(make_cases)
+    for sheet in ("channel_evolution", "subcat2_last", "category_brand"):
+        alone = tuples(pack.report_pack(cases, REGISTRY, PARAMS, sheets=[sheet]))
+        whole = tuples(pack.report_pack(cases, REGISTRY, PARAMS).where(F.col("sheet") == sheet))
+        assert sorted(alone, key=str) == sorted(whole, key=str)
+
+
+def test_unknown_counting(make_cases):
+    with pytest.raises(ValueError):
+        pack.report_pack(make_cases({}), REGISTRY, PARAMS, counting="guess")
 
 
 def test_sheets_are_the_single_reports(make_cases):
@@ -296,11 +317,29 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_shared_pass_scans_once(spark, make_cases, tmp_path):
+KEY_SETS = (reports.KIND_KEYS, reports.PAIR_KEYS, reports.LINE_KEYS, reports.SUBCAT2_KEYS)
+
+
+@pytest.mark.parametrize("channel_range, scans", [(("2024-01", "2024-02"), 1), (("2023-12", "2024-02"), 2)])
+def test_one_pass_scans_once(spark, make_cases, tmp_path, channel_range, scans):
+    sample(make_cases).write.parquet(str(tmp_path / "c"))
+    cases = spark.read.parquet(str(tmp_path / "c"))
+    params = ReportParams(1, 2, 3, "2024-01", "2024-03", *channel_range)
+    plan = plan_of(sc.pack_counts(cases, REGISTRY, params, KEY_SETS, brands=False))
+    assert plan.count("FileScan") == plan.count("Exchange") == scans
+    assert "GreaterThanOrEqual(month,2024-01-01), LessThanOrEqual(month,2024-03-01)" in plan
+
+
+def test_a_scan_per_key_set_reads_its_columns_only(spark, make_cases, tmp_path):
     sample(make_cases).write.parquet(str(tmp_path / "c"))
     cases = spark.read.parquet(str(tmp_path / "c"))
-    plan = plan_of(shared_aggregate(cases, REGISTRY, PARAMS))
-    assert plan.count("FileScan") == 1
-    assert plan.count("Exchange") == 1
-    assert "Expand" in plan
-    assert "PushedFilters: [IsNotNull(month), GreaterThanOrEqual(month,2023-12-01), LessThanOrEqual(month,2024-03-01)" in plan
+    plan = plan_of(
+        sc.pack_counts(cases, REGISTRY, PARAMS, KEY_SETS, channels=False, brands=False, counting=sc.PER_KEY_SET)
+    )
+    schemas = sorted(part.split("\n")[0] for part in plan.split("ReadSchema: ")[1:])
+    assert schemas == [
+        "struct<month:date,brand:string,subcat1:string>",
+        "struct<month:date,case_type:string,case_group:string,reason:string>",
+        "struct<month:date,line:string,variant:string>",
+        "struct<month:date,subcat2:string>",
+    ]
