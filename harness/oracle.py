@@ -153,10 +153,10 @@ def _subcat1() -> str:
     return "coalesce(subcat1, 'general')"
 
 
-def category_long(where: str) -> str:
+def category_long(where: str, scope: str = "TRUE") -> str:
     return f"""
 WITH cases AS ({CASES}),
-shown AS (SELECT month, {title(_subcat1())} AS category, {title(SHOWN_BRAND)} AS brand FROM cases),
+shown AS (SELECT month, {title(_subcat1())} AS category, {title(SHOWN_BRAND)} AS brand FROM cases WHERE {scope}),
 chosen AS (SELECT * FROM shown WHERE {where})
 SELECT category, brand, count(*) AS total FROM chosen WHERE brand IS NOT NULL GROUP BY 1, 2
 UNION ALL
@@ -174,14 +174,14 @@ def long_rows(sheet: str, inner: str, position: str, label: str, values: list[st
     )
 
 
-def long_category(sheet: str, where: str) -> str:
+def long_category(sheet: str, where: str, scope: str = "TRUE") -> str:
     return f"""
 SELECT '{sheet}' AS sheet,
        CASE WHEN category IS NOT NULL THEN CAST(
            -coalesce(sum(total) FILTER (WHERE brand = 'Brand#10') OVER (PARTITION BY category), 0) AS BIGINT) END
            AS position,
        category AS label, brand AS series, CAST(total AS DOUBLE) AS value
-FROM ({category_long(where)})"""
+FROM ({category_long(where, scope)})"""
 
 
 def long_channels() -> str:
@@ -198,16 +198,17 @@ def long_types(sheet: str, where: str, style=title) -> str:
     return long_rows(sheet, breakdown(where, style), "rank", "case_type", ["total", "share"])
 
 
-def full_pack() -> str:
+def full_pack(scope: str = "TRUE") -> str:
     parts = [long_channels()]
-    for suffix, where in (("", PERIOD), ("_last", LAST)):
+    for suffix, months in (("", PERIOD), ("_last", LAST)):
+        where = f"{scope} AND {months}"
         shares = ["total", "cum_share"]
         complaint, other = pareto("reason", f"{COMPLAINT} AND {where}"), pareto(TYPE_REASON, f"{OTHER} AND {where}")
         parts += [
             long_types(f"type_breakdown{suffix}", where),
             long_rows(f"complaint_pareto{suffix}", complaint, "rank", "reason", shares),
             long_rows(f"other_pareto{suffix}", other, "rank", "reason", shares),
-            long_category(f"category_brand{suffix}", where),
+            long_category(f"category_brand{suffix}", months, scope),
             long_rows(
                 f"line_variant{suffix}", ranked(LINE_VARIANT, "line_variant", where), "rank", "line_variant", ["total"]
             ),
@@ -395,6 +396,9 @@ ORACLE: dict[str, str] = {
     "r_report_pack": full_pack(),
     "r_report_pack_per_key_set": full_pack(),
     "r_report_pack_direct": full_pack(),
+    "r_report_packs": " UNION ALL ".join(
+        f"SELECT {scope_id} AS scope_id, * FROM ({full_pack(where)})" for scope_id, where in SCOPES.items()
+    ),
     "r_type_breakdown": breakdown(PERIOD),
     "r_type_breakdown_last": breakdown(LAST),
     "r_type_breakdown_first": breakdown(FIRST),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -433,6 +434,12 @@ def r_report_pack_per_key_set(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=PER_KEY_SET)
 
 
+def r_report_packs(spark, d):
+    """The packs of five scopes from one pass."""
+    requests = [replace(PARAMS, scope=scope_id) for scope_id in registry().ids()]
+    return pack.report_packs(cases(spark, d), registry(), requests, TAXONOMY)
+
+
 def r_report_pack_direct(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=pack.PER_REPORT)
 
@@ -502,6 +509,7 @@ QUERIES: dict[str, Query] = {
         r_report_pack,
         r_report_pack_per_key_set,
         r_report_pack_direct,
+        r_report_packs,
     )
 } | {
     "r_type_breakdown": _report(reports.type_breakdown),

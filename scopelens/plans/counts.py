@@ -19,6 +19,27 @@ def by_columns(scope: Scopes) -> list[str]:
     return [] if isinstance(scope, Scope) else [SCOPE_ID]
 
 
+def split_rows(cases: DataFrame, scope: Scopes) -> tuple[DataFrame, list[str]]:
+    """The cases of the scopes, and the columns by which counts can be told apart by scope."""
+    if isinstance(scope, Scope):
+        return cases.where(scope.predicate), []
+    rows = cases.where(covering(scope))
+    dimensions = scope[0].dimensions
+    if dimensions:
+        return rows, list(dimensions)
+    words = membership(scope)
+    return rows.withColumns(words), list(words)
+
+
+def by_scope(counts: DataFrame, scope: Scopes) -> DataFrame:
+    """Counts by the columns of ``split_rows``, as counts of each scope."""
+    if isinstance(scope, Scope):
+        return counts
+    if scope[0].dimensions:
+        counts = counts.withColumns(membership(scope))
+    return explode_membership(counts, scope)
+
+
 def scope_counts(
     cases: DataFrame,
     scope: Scopes,
@@ -34,13 +55,6 @@ def scope_counts(
     rows = in_period(cases, period)
     if condition is not None:
         rows = rows.where(condition)
-    if isinstance(scope, Scope):
-        return count_rows(rows.where(scope.predicate), keys)
-    words = membership(scope)
-    rows = rows.where(covering(scope))
-    dimensions = scope[0].dimensions
-    if dimensions:
-        counts = count_rows(rows, list(dict.fromkeys([*dimensions, *keys]))).withColumns(words)
-    else:
-        counts = count_rows(rows.withColumns(words), [*words, *keys])
-    return explode_membership(counts, scope).select(SCOPE_ID, *keys, TOTAL)
+    rows, apart = split_rows(rows, scope)
+    counts = count_rows(rows, list(dict.fromkeys([*apart, *keys])))
+    return by_scope(counts, scope).select(*by_columns(scope), *keys, TOTAL)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scopelens.model import BRAND, FIRST, LAST, MONTH, MONTHS, RANGE, REASON, SUBCAT2, TOTAL, CASE_TYPE, ReportParams
+from scopelens.model import BRAND, CASE_TYPE, FIRST, LAST, MONTH, MONTHS, RANGE, REASON, SCOPE_ID, SUBCAT2, TOTAL, ReportParams
 from scopelens.operators.sets import union_all
 from scopelens.plans.counts import scope_counts
 from scopelens.plans.reports import (
@@ -51,7 +51,6 @@ SUMMARY_PACK = ("channel_evolution", "type_breakdown", "type_breakdown_first", "
 SKIPPED_IF_EMPTY = ("channel_evolution", *FULL_PACK[7:])
 
 CHANNELS, CATEGORIES = "channel_evolution", "category_brand"
-BY = (MONTHS,)
 
 # Every report from a scan of its own, as single reports are made.
 PER_REPORT = "per_report"
@@ -60,6 +59,8 @@ PER_REPORT = "per_report"
 class DirectCounts:
     """The counted cases of one pack, every count from a scan of its own."""
 
+    by: list[str] = []
+
     def __init__(self, cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy) -> None:
         self._cases = cases
         self._scope = registry.scope(params.scope)
@@ -118,6 +119,7 @@ def pack_reports(
 ) -> dict[str, DataFrame]:
     """The reports behind the sheets, each for all its months at once (column ``months``)."""
     keys = report_keys(sheets)
+    by = [*source.by, MONTHS]
 
     def counts(report: str, months: Sequence[str]) -> DataFrame:
         return source.counts(keys[report], months)
@@ -127,16 +129,16 @@ def pack_reports(
         return source.brands().withColumn(MONTHS, named)
 
     def categories(report: str, months: Sequence[str]) -> DataFrame:
-        return category_by_brand_long_from(counts(report, months), brands(months), BY, taxonomy)
+        return category_by_brand_long_from(counts(report, months), brands(months), by, taxonomy)
 
     make: dict[str, Callable[[str, Sequence[str]], DataFrame]] = {
-        CHANNELS: lambda r, m: channel_evolution_from(source.channels(), taxonomy),
-        "type_breakdown": lambda r, m: type_breakdown_from(counts(r, m), BY, taxonomy, style=style),
-        "complaint_pareto": lambda r, m: complaint_pareto_from(counts(r, m), BY, top, taxonomy),
-        "other_pareto": lambda r, m: other_pareto_from(counts(r, m), BY, top, taxonomy),
+        CHANNELS: lambda r, m: channel_evolution_from(source.channels(), taxonomy, source.by),
+        "type_breakdown": lambda r, m: type_breakdown_from(counts(r, m), by, taxonomy, style=style),
+        "complaint_pareto": lambda r, m: complaint_pareto_from(counts(r, m), by, top, taxonomy),
+        "other_pareto": lambda r, m: other_pareto_from(counts(r, m), by, top, taxonomy),
         CATEGORIES: categories,
-        "line_variant": lambda r, m: top_line_variant_from(counts(r, m), BY, top, taxonomy),
-        "subcat2": lambda r, m: top_subcat2_from(counts(r, m), BY, top, taxonomy),
+        "line_variant": lambda r, m: top_line_variant_from(counts(r, m), by, top, taxonomy),
+        "subcat2": lambda r, m: top_subcat2_from(counts(r, m), by, top, taxonomy),
     }
     return {report: make[report](report, months) for report, months in asked_reports(sheets).items()}
 
@@ -190,20 +192,46 @@ def report_pack(
     return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
 
 
+def report_packs(
+    cases: DataFrame,
+    registry: ScopeRegistry,
+    requests: Sequence[ReportParams],
+    taxonomy: Taxonomy = PORTUGUESE,
+    sheets: Sequence[str] = FULL_PACK,
+    counting: str = ONE_PASS,
+    style: str = "title",
+) -> DataFrame:
+    """The packs of many scopes in one long table with a ``scope_id``.
+
+    The cases are read as often as for a single pack. All requests must be for different scopes and
+    the same months.
+    """
+    if not requests:
+        raise ValueError("no packs asked for")
+    first = requests[0]
+    if any((r.months, r.channel_period, r.top) != (first.months, first.channel_period, first.top) for r in requests):
+        raise ValueError("packs made together must have the same months and size")
+    if len({request.scope for request in requests}) < len(requests):
+        raise ValueError("packs made together must have different scopes")
+    source = pack_source(cases, registry, list(requests), taxonomy, sheets, counting)
+    reports = pack_reports(source, sheets, first.top, taxonomy, style)
+    return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
+
+
 def pack_source(
     cases: DataFrame,
     registry: ScopeRegistry,
-    params: ReportParams,
+    requests: ReportParams | list[ReportParams],
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
     counting: str = ONE_PASS,
 ) -> SharedCounts | DirectCounts:
-    if counting == PER_REPORT:
-        return DirectCounts(cases, registry, params, taxonomy)
+    if counting == PER_REPORT and isinstance(requests, ReportParams):
+        return DirectCounts(cases, registry, requests, taxonomy)
     asked, keys = asked_reports(sheets), report_keys(sheets)
     key_sets = list(dict.fromkeys(keys[report] for report in asked if report != CHANNELS))
     channels, brands = CHANNELS in asked, CATEGORIES in asked
-    return shared_counts(cases, registry, params, key_sets, channels, brands, counting, taxonomy)
+    return shared_counts(cases, registry, requests, key_sets, channels, brands, counting, taxonomy)
 
 
 def long_form(report: str, frame: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
@@ -228,24 +256,33 @@ def _sheet(report: str, frame: DataFrame) -> Column:
     return F.when(F.col(MONTHS) == RANGE, report).otherwise(F.concat(F.lit(f"{report}_"), F.col(MONTHS)))
 
 
+def _by(frame: DataFrame) -> list[str]:
+    return [name for name in (SCOPE_ID, MONTHS) if name in frame.columns]
+
+
 def _series(report: str, frame: DataFrame, position: Column, label: str, values: Sequence[str]) -> DataFrame:
+    scope = [name for name in _by(frame) if name == SCOPE_ID]
     wide = frame.select(
+        *scope,
         _sheet(report, frame).alias("sheet"),
         position.cast("long").alias("position"),
         F.col(label).alias("label"),
         *[F.col(value).cast("double") for value in values],
     )
-    return wide.unpivot(["sheet", "position", "label"], list(values), "series", "value")
+    return wide.unpivot([*scope, "sheet", "position", "label"], list(values), "series", "value")
 
 
 def _category_series(report: str, cells: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Brands are the series. Categories are ordered by the first brand's count, largest first."""
-    by = list(BY)
+    by = _by(cells)
+    scope = [name for name in by if name == SCOPE_ID]
     order = F.struct((F.col(BRAND) == title_last(taxonomy)).alias("last"), F.col(BRAND).alias("name"))
-    first = cells.where(F.col(BRAND).isNotNull()).agg(F.min(order)["name"]).scalar()
-    leading = F.coalesce(F.sum(F.when(F.col(BRAND) == first, F.col(TOTAL))), F.lit(0))
-    positions = cells.groupBy(*by, "category").agg((-leading).alias("position"))
+    # Every brand of a scope is listed for each of its months, so the first is the same in all.
+    firsts = cells.where(F.col(BRAND).isNotNull()).groupBy(*by).agg(F.min(order)["name"].alias("_first"))
+    leading = F.coalesce(F.sum(F.when(F.col(BRAND) == F.col("_first"), F.col(TOTAL))), F.lit(0))
+    positions = cells.join(firsts, by).groupBy(*by, "category").agg((-leading).alias("position"))
     return cells.join(positions, [*by, "category"], "left").select(
+        *scope,
         _sheet(report, cells).alias("sheet"),
         F.col("position").cast("long").alias("position"),
         F.col("category").alias("label"),

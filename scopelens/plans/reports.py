@@ -99,7 +99,9 @@ def channel_evolution(
     return channel_evolution_from(monthly, taxonomy)
 
 
-def channel_evolution_from(monthly: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
+def channel_evolution_from(
+    monthly: DataFrame, taxonomy: Taxonomy = PORTUGUESE, by: Sequence[str] = ()
+) -> DataFrame:
     # An unknown month is not equal to itself: the two scopes' cases without month stay apart.
     a, b, none = F.col("traditional"), F.col("digital"), F.lit(0).cast("long")
     together = F.array(F.struct(a.alias("traditional"), b.alias("digital")))
@@ -108,11 +110,9 @@ def channel_evolution_from(monthly: DataFrame, taxonomy: Taxonomy = PORTUGUESE)
     )
     sides = F.when(F.col(MONTH).isNull() & (a > 0) & (b > 0), apart).otherwise(together)
     label = month_label(F.col(MONTH), taxonomy.month_names, capitalized=True)
-    return (
-        monthly.where((a > 0) | (b > 0))
-        .select(MONTH, label.alias("month_label"), F.inline(sides))
-        .orderBy(F.col(MONTH).asc_nulls_first())
-    )
+    used = monthly.where((a > 0) | (b > 0))
+    report = used.select(*by, MONTH, label.alias("month_label"), F.inline(sides))
+    return report if by else report.orderBy(F.col(MONTH).asc_nulls_first())
 
 
 def channel_series(evolution: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:

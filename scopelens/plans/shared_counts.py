@@ -19,13 +19,13 @@ import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from scopelens.functions.months import within
-from scopelens.model import BRAND, FIRST, LAST, MONTH, MONTHS, RANGE, TOTAL, ReportParams
-from scopelens.operators.aggregate import distinct_labels
+from scopelens.model import BRAND, FIRST, LAST, MONTH, MONTHS, RANGE, SCOPE_ID, TOTAL, ReportParams
 from scopelens.operators.filters import in_period
 from scopelens.operators.sets import union_all
+from scopelens.plans.counts import Scopes, by_columns, by_scope, scope_counts, split_rows
 from scopelens.plans.reports import shown_brands
 from scopelens.session import ensure_checkpoint_dir
 from scopelens.sources.scopes import ScopeRegistry
@@ -52,11 +52,13 @@ class SharedCounts:
     """The counted cases of one pack.
 
     Columns: ``part``, the values of its grouping columns in order (``key_0``, ...) or ``month``,
-    and the counts. Parts are told apart by name, never by NULL keys: labels can be NULL too.
+    and the counts; for packs of many scopes ``scope_id`` as well. Parts are told apart by name,
+    never by NULL keys: labels can be NULL too.
     """
 
     def __init__(self, aggregate: DataFrame, taxonomy: Taxonomy = PORTUGUESE, small: bool = False) -> None:
         self.aggregate = aggregate
+        self.by = [SCOPE_ID] if SCOPE_ID in aggregate.columns else []
         self._taxonomy = taxonomy
         self._small = small
 
@@ -64,13 +66,14 @@ class SharedCounts:
         """As ``count_rows`` gives for the scope, for each of the asked months."""
         measures = F.array(*[F.struct(F.lit(name).alias(MONTHS), F.col(name).alias(TOTAL)) for name in months])
         named = [F.col(f"key_{at}").alias(name) for at, name in enumerate(keys)]
-        return self._part(part_name(keys)).select(*named, F.inline(measures)).where(F.col(TOTAL) > 0)
+        return self._part(part_name(keys)).select(*self.by, *named, F.inline(measures)).where(F.col(TOTAL) > 0)
 
     def channels(self) -> DataFrame:
-        return self._part(CHANNELS).select(MONTH, TRADITIONAL, DIGITAL)
+        return self._part(CHANNELS).select(*self.by, MONTH, TRADITIONAL, DIGITAL)
 
     def brands(self) -> DataFrame:
-        return shown_brands(self._part(BRANDS).select(F.col("key_0").alias(BRAND)), self._taxonomy)
+        brands = self._part(BRANDS).select(*self.by, F.col("key_0").alias(BRAND))
+        return shown_brands(brands, self._taxonomy, self.by)
 
     def _part(self, name: str) -> DataFrame:
         chosen = self.aggregate.where(F.col("part") == name)
@@ -87,24 +90,34 @@ def channel_flags(cases: DataFrame, registry: ScopeRegistry, params: ReportParam
     return {name: registry.scope(scope_id).predicate & period for name, scope_id in ids.items()}
 
 
-def counted(grouped, flags: Sequence[str]) -> DataFrame:
+def counted(grouped: GroupedData, flags: Sequence[str]) -> DataFrame:
     return grouped.agg(*[F.count_if(F.col(name)).alias(name) for name in flags])
 
 
 def one_pass(
-    cases: DataFrame, registry: ScopeRegistry, params: ReportParams, key_sets: Sequence[KeySet], channels: bool
+    cases: DataFrame,
+    registry: ScopeRegistry,
+    params: ReportParams,
+    scope: Scopes,
+    key_sets: Sequence[KeySet],
+    channels: bool = False,
 ) -> DataFrame:
     """Every part from one scan of the period, with one shuffle of partial counts.
 
-    ``channels`` adds the cases by month, whose own period must then lie within the report's.
+    ``channels`` adds the cases by month, for a single scope; the channels' own period must then lie
+    within the report's.
     """
-    scope = registry.scope(params.scope).predicate
-    flags = {name: scope & months for name, months in month_flags(cases, params).items()}
+    rows, flags = in_period(cases, params.period), month_flags(cases, params)
     if channels:
+        # Cases of the channels but not of the scope stay in, to be counted for the channels alone.
+        flags = {name: registry.scope(params.scope).predicate & months for name, months in flags.items()}
         flags |= channel_flags(cases, registry, params)
+        apart: list[str] = []
+    else:
+        rows, apart = split_rows(rows, scope)
     # A condition that is NULL does not count.
     known = {name: F.coalesce(condition, F.lit(False)) for name, condition in flags.items()}
-    rows = in_period(cases, params.period).withColumns(known).where(reduce(operator.or_, map(F.col, known)))
+    rows = rows.withColumns(known).where(reduce(operator.or_, map(F.col, known)))
 
     width = max((len(keys) for keys in key_sets), default=0)
     text, day = F.lit(None).cast("string"), F.lit(None).cast("date")
@@ -112,24 +125,31 @@ def one_pass(
     def entry(name: str, keys: Sequence[str], month: Column) -> Column:
         values = [F.col(key) for key in keys] + [text] * (width - len(keys))
         named = [value.alias(f"key_{at}") for at, value in enumerate(values)]
-        return F.struct(F.lit(name).alias("part"), *named, month.alias(MONTH))
+        return F.struct(F.lit(name).alias("part"), *named, month.alias("key_month"))
 
     entries = [entry(part_name(keys), keys, day) for keys in key_sets]
     if channels:
         entries.append(entry(CHANNELS, (), F.col(MONTH)))
-    copies = rows.select(*known, F.inline(F.array(*entries)))
-    wanted = copies.where(F.col(RANGE) | (F.col("part") == CHANNELS)) if channels else copies
-    grouping = ["part", *[f"key_{at}" for at in range(width)], MONTH]
-    return counted(wanted.groupBy(*grouping), list(known))
+    copies = rows.select(*apart, *known, F.inline(F.array(*entries)))
+    if channels:
+        copies = copies.where(F.col(RANGE) | (F.col("part") == CHANNELS))
+    grouping = [*apart, "part", *[f"key_{at}" for at in range(width)], "key_month"]
+    counts = by_scope(counted(copies.groupBy(*grouping), list(known)), scope)
+    return counts.drop(*apart).withColumnRenamed("key_month", MONTH)
 
 
 def per_key_set(
-    cases: DataFrame, registry: ScopeRegistry, params: ReportParams, key_sets: Sequence[KeySet]
+    cases: DataFrame, params: ReportParams, scope: Scopes, key_sets: Sequence[KeySet]
 ) -> list[DataFrame]:
     """Each part from a scan of its own columns."""
     flags = month_flags(cases, params)
-    rows = in_period(cases, params.period).where(registry.scope(params.scope).predicate).withColumns(flags)
-    return [_as_part(counted(rows.groupBy(*keys), list(flags)), keys, part_name(keys)) for keys in key_sets]
+    rows, apart = split_rows(in_period(cases, params.period), scope)
+    parts = []
+    for keys in key_sets:
+        grouped = rows.withColumns(flags).groupBy(*dict.fromkeys([*apart, *keys]))
+        counts = by_scope(counted(grouped, list(flags)), scope)
+        parts.append(_as_part(counts.select(*by_columns(scope), *keys, *flags), keys, part_name(keys)))
+    return parts
 
 
 def channel_part(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> DataFrame:
@@ -140,10 +160,27 @@ def channel_part(cases: DataFrame, registry: ScopeRegistry, params: ReportParams
     return counted(grouped, list(flags)).withColumn("part", F.lit(CHANNELS))
 
 
-def brand_part(cases: DataFrame, registry: ScopeRegistry, params: ReportParams) -> DataFrame:
+def channel_parts(cases: DataFrame, registry: ScopeRegistry, requests: Sequence[ReportParams]) -> DataFrame:
+    """The same for many packs: months are counted per channel scope, then given to the packs."""
+    takers: dict[int, list[str]] = {}
+    for request in requests:
+        for scope_id, side in ((request.traditional_scope, TRADITIONAL), (request.digital_scope, DIGITAL)):
+            takers.setdefault(scope_id, []).append(f"named_struct('pack', {request.scope}, 'side', '{side}')")
+    months = scope_counts(cases, registry.scopes(takers), (MONTH,), requests[0].channel_period)
+    cases_of = " ".join(f"WHEN {scope_id} THEN array({', '.join(packs)})" for scope_id, packs in takers.items())
+    given = months.select(MONTH, TOTAL, F.expr(f"inline(CASE {SCOPE_ID} {cases_of} END)"))
+    sides = [
+        F.coalesce(F.sum(F.when(F.col("side") == side, F.col(TOTAL))), F.lit(0)).alias(side)
+        for side in (TRADITIONAL, DIGITAL)
+    ]
+    grouped = given.groupBy(F.col("pack").alias(SCOPE_ID), MONTH).agg(*sides)
+    return grouped.withColumn("part", F.lit(CHANNELS))
+
+
+def brand_part(cases: DataFrame, scope: Scopes) -> DataFrame:
     """The scope's brands, over all months."""
-    chosen = cases.where(registry.scope(params.scope).predicate)
-    return _as_part(distinct_labels(chosen, BRAND), (BRAND,), BRANDS)
+    counts = scope_counts(cases, scope, (BRAND,), None, F.col(BRAND).isNotNull())
+    return _as_part(counts.drop(TOTAL).distinct(), (BRAND,), BRANDS)
 
 
 def _as_part(frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -154,37 +191,40 @@ def _as_part(frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 def pack_counts(
     cases: DataFrame,
     registry: ScopeRegistry,
-    params: ReportParams,
+    requests: ReportParams | Sequence[ReportParams],
     key_sets: Sequence[KeySet],
     channels: bool = True,
     brands: bool = True,
     counting: str = ONE_PASS,
 ) -> DataFrame:
-    """The counts a pack needs, lazily, in one frame.
+    """The counts of one pack, or of many with the same periods, lazily, in one frame.
 
-    The channels join the one pass only if their period lies within the report's; otherwise they
-    are a narrow scan, as the brand list always is, having no period.
+    The channels join the one pass only for a single pack, and if their period lies within the
+    report's; otherwise they are a narrow scan, as the brand list always is, having no period.
     """
     if counting not in (ONE_PASS, PER_KEY_SET):
         raise ValueError(f"counting must be {ONE_PASS} or {PER_KEY_SET}")
+    single = isinstance(requests, ReportParams)
+    params = requests if single else requests[0]
+    scope = registry.scope(params.scope) if single else registry.scopes(request.scope for request in requests)
     inner, outer = params.channel_period, params.period
     within_period = inner is not None and outer.start <= inner.start and inner.end <= outer.end
-    together = channels and counting == ONE_PASS and within_period
+    together = channels and single and counting == ONE_PASS and within_period
     if counting == PER_KEY_SET:
-        parts = per_key_set(cases, registry, params, key_sets)
+        parts = per_key_set(cases, params, scope, key_sets)
     else:
-        parts = [one_pass(cases, registry, params, key_sets, together)] if key_sets or together else []
+        parts = [one_pass(cases, registry, params, scope, key_sets, together)] if key_sets or together else []
     if channels and not together:
-        parts.append(channel_part(cases, registry, params))
+        parts.append(channel_part(cases, registry, params) if single else channel_parts(cases, registry, requests))
     if brands:
-        parts.append(brand_part(cases, registry, params))
+        parts.append(brand_part(cases, scope))
     return union_all(parts)
 
 
 def shared_counts(
     cases: DataFrame,
     registry: ScopeRegistry,
-    params: ReportParams,
+    requests: ReportParams | Sequence[ReportParams],
     key_sets: Sequence[KeySet],
     channels: bool = True,
     brands: bool = True,
@@ -198,6 +238,6 @@ def shared_counts(
     small result is read as one partition; a larger one stays distributed.
     """
     ensure_checkpoint_dir(cases.sparkSession)
-    kept = pack_counts(cases, registry, params, key_sets, channels, brands, counting).checkpoint()
+    kept = pack_counts(cases, registry, requests, key_sets, channels, brands, counting).checkpoint()
     small = kept.limit(SMALL + 1).count() <= SMALL
     return SharedCounts(kept, taxonomy, small)

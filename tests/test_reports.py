@@ -317,6 +317,27 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("counting", [sc.ONE_PASS, sc.PER_KEY_SET])
+@pytest.mark.parametrize("dimensions", [(), ("channel",)])
+def test_many_packs_equal_each_alone(make_cases, counting, dimensions):
+    cases = sample(make_cases)
+    known = ScopeRegistry(dimensions).add(1).add(2, "channel = 'phone'", parent=1).add(3, "channel = 'digital'", parent=1)
+    sides = {1: (2, 3), 2: (3, 1), 3: (2, 3)}
+    requests = [ReportParams(i, *sides[i], "2024-01", "2024-03", "2023-12", "2024-02", top=3) for i in sides]
+    together = pack.report_packs(cases, known, requests, counting=counting).collect()
+    for request in requests:
+        alone = tuples(pack.report_pack(cases, known, request))
+        mine = [tuple(r[c] for c in ("sheet", "position", "label", "series", "value")) for r in together if r.scope_id == request.scope]
+        assert sorted(mine, key=str) == sorted(alone, key=str)
+
+
+def test_packs_that_cannot_be_made_together(make_cases):
+    other = ReportParams(2, 2, 3, "2024-01", "2024-02", "2023-12", "2024-02", top=3)
+    for requests in ([], [PARAMS, other], [PARAMS, PARAMS]):
+        with pytest.raises(ValueError):
+            pack.report_packs(make_cases({}), REGISTRY, requests)
+
+
 KEY_SETS = (reports.KIND_KEYS, reports.PAIR_KEYS, reports.LINE_KEYS, reports.SUBCAT2_KEYS)
 
 
