@@ -221,8 +221,15 @@ def test_channels_of_an_empty_period(make_cases):
 PARAMS = ReportParams(1, 2, 3, "2024-01", "2024-03", "2023-12", "2024-02", top=3)
 
 
-@pytest.mark.parametrize("channel_range", [("2023-12", "2024-02"), (None, None), ("2024-01", "2024-02")])
-@pytest.mark.parametrize("sheets", [pack.FULL_PACK, pack.SUMMARY_PACK])
+@pytest.mark.parametrize(
+    "channel_range, sheets",
+    [
+        (("2023-12", "2024-02"), pack.FULL_PACK),
+        (("2024-01", "2024-02"), pack.FULL_PACK),
+        (("2024-01", "2024-02"), pack.SUMMARY_PACK),
+        ((None, None), pack.SUMMARY_PACK),
+    ],
+)
 def test_shared_counts_equal_direct(make_cases, channel_range, sheets):
     cases = sample(make_cases)
     params = ReportParams(1, 2, 3, "2024-01", "2024-03", *channel_range, top=3)
@@ -317,8 +324,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("counting", [sc.ONE_PASS, sc.PER_KEY_SET])
-@pytest.mark.parametrize("dimensions", [(), ("channel",)])
+@pytest.mark.parametrize("counting, dimensions", [(sc.ONE_PASS, ()), (sc.PER_KEY_SET, ("channel",))])
 def test_many_packs_equal_each_alone(make_cases, counting, dimensions):
     cases = sample(make_cases)
     known = ScopeRegistry(dimensions).add(1).add(2, "channel = 'phone'", parent=1).add(3, "channel = 'digital'", parent=1)
