@@ -27,7 +27,7 @@ from scopelens.llm.logistic import fit_sparse, sigmoid
 #: Labelled rows learned from at most, taken in the order of a hash of their ids.
 SAMPLE_ROWS = 24_000
 #: n-gram sizes, hash places, and n-grams with a weight.
-SIZES, BITS, FEATURES = (3, 4, 5, 6), 20, 20_000
+SIZES, BITS, FEATURES = (3, 4, 5, 6), 20, 4_000
 #: Texts that must hold an n-gram before it can carry a weight.
 LEAST_TEXTS = 5
 CHARS = 1 << 20
@@ -63,20 +63,37 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 def distinct_places(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, place) pairs; with ``wanted``, the number that it gives a place, if not -1."""
+    if wanted is None:
+        return _all_places(texts)
     found = []
     for place, first, last in grams(texts):
-        if wanted is not None:
-            number = wanted[place]
-            at = np.flatnonzero(number >= 0)
-            at = at[first[at] == last[at]]
-            found.append((first[at].astype(np.int64) << BITS) | number[at])
-        else:
-            same = first == last
-            found.append(np.unique((first[same].astype(np.int64) << BITS) | place[same]))
+        number = wanted[place]
+        at = np.flatnonzero(number >= 0)
+        at = at[first[at] == last[at]]
+        found.append((first[at].astype(np.int64) << BITS) | number[at])
     pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def _all_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places are marked with the last position that holds them, which is cheaper than sorting all of a text's."""
+    parts = [(place, first, last, np.searchsorted(first, np.arange(len(texts) + 1))) for place, first, last in grams(texts)]
+    mark = np.zeros(1 << BITS, np.int32)
+    rows, places = [], []
+    for row in range(len(texts)):
+        own = []
+        for place, first, last, bounds in parts:
+            a, b = bounds[row], bounds[row + 1]
+            own.append(place[a:b][last[a:b] == row])
+        place = np.concatenate(own)
+        number = np.arange(len(place), dtype=np.int32)
+        mark[place] = number
+        place = place[mark[place] == number]
+        rows.append(np.full(len(place), row))
+        places.append(place.astype(np.int64))
+    return np.concatenate(rows), np.concatenate(places)
+
+
 @dataclass
 class Model:
     numbers: np.ndarray  # int32 per hash place, -1 without a weight
