@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, near_duplicates, toxicity
+from scopelens.llm import decontaminate, near_duplicates, repeats, toxicity
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -25,6 +25,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(documents.select("doc_id", "text"), benchmark))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -32,6 +36,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_decontaminate": op6_decontaminate,
+    "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
