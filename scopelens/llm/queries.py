@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, near_duplicates, repeats, toxicity
+from scopelens.llm import decontaminate, near_duplicates, repeats, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -33,11 +34,24 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    ids = table(spark, sf_dir, "documents").select("doc_id", word_bpe.encoded(vocabulary).alias("ids"))
+    out = ids.withColumn("decoded", word_bpe.decoded(vocabulary))
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_word_bpe": op9_word_bpe,
 }
 
 ORACLE: dict[str, str] = {}
