@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, near_duplicates, repeats, toxicity, word_bpe
+from scopelens.llm import decontaminate, main_text, near_duplicates, repeats, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -46,12 +46,18 @@ def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text.extracted().alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_word_bpe": op9_word_bpe,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE: dict[str, str] = {}
