@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, main_text, near_duplicates, repeats, toxicity, word_bpe
+from scopelens.llm import decontaminate, main_text, near_duplicates, near_vectors, repeats, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find(documents.select("doc_id", "text"), benchmark))
@@ -53,6 +57,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_vectors": op2_near_vectors,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
