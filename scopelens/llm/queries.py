@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, main_text, near_duplicates, near_vectors, repeats, toxicity, word_bpe
+from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, repeats, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -25,6 +25,14 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 5) == 0
+    model = language.fit(documents.where(~held_out))
+    found = documents.select("doc_id", held_out.alias("held_out"), language.predicted(model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find(documents.select("doc_id", "text"), benchmark))
@@ -58,6 +66,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_vectors": op2_near_vectors,
+    "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
