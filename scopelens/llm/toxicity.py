@@ -123,11 +123,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
     """Learns from the labelled documents; select the training rows before."""
-    labelled = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
-        labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")), "id"
-    )
-    chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id")).orderBy(F.xxhash64(F.col("id"), F.lit(1)), "id").limit(sample_rows).distinct()
-    sample = labelled.join(chosen, "id", "left_semi").select("text", "label")
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    chosen = known.orderBy(F.xxhash64("id", "label"), "id", "label").limit(sample_rows)
+    # at most sample_rows rows of an id and a label each, so the texts need no shuffle
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").select("text", "label")
     sizes = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     none = Model(np.full(1 << BITS, -1, np.int32), np.zeros(1), float(np.log((toxic + 1) / (other + 1))))
