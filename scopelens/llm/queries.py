@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, repeats, toxicity, word_bpe
+from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, table
 
 
@@ -25,6 +25,15 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold("doc_id", 3) == 1
+    model = quality.fit(documents.where(~held_out), labels.where(~held_out))
+    return documents.select("doc_id", held_out.alias("held_out"), quality.score(model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = crc_fold("doc_id", 5) == 0
@@ -66,6 +75,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_vectors": op2_near_vectors,
+    "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
