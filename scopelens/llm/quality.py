@@ -107,15 +107,15 @@ def _flat(bins: np.ndarray) -> np.ndarray:
     return bins + np.arange(bins.shape[1]) * BINS
 
 
-def fit_weights(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> Model:
-    """Adam on the non-negative risk over measures of positives and unlabelled texts."""
+def fit_weights(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 2000, rate: float = 0.1, penalty: float = 1e-4) -> Model:
+    """Adam on the non-negative risk over measures of positives and unlabelled texts; the mean of the second half's weights."""
     spread = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.quantile(unlabelled, spread, axis=0).T
     model = Model(edges, np.zeros((len(SHAPES), BINS)), float(np.log(prior / (1 - prior))))
     p, u = _flat(model.bins(positive)), _flat(model.bins(unlabelled))
     width = len(SHAPES) * BINS
     weights = np.append(np.zeros(width), model.bias)
-    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    first, second, total = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
 
     def spread_back(at: np.ndarray, errors: np.ndarray) -> np.ndarray:
         slope = np.bincount(at.ravel(), np.repeat(errors, at.shape[1]), width) / len(errors)
@@ -133,6 +133,9 @@ def fit_weights(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, s
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        if step > steps // 2:
+            total += weights
+    weights = total / (steps - steps // 2)
     return Model(edges, weights[:-1].reshape(len(SHAPES), BINS), float(weights[-1]))
 
 
