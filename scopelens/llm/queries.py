@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, toxicity, word_bpe
-from scopelens.llm.tables import crc_fold, table
+from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, token_files, toxicity, word_bpe
+from scopelens.llm.tables import crc_fold, shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digest(token_files.read(files, folder))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find(documents.select("doc_id", "text"), benchmark))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": op2_near_vectors,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_token_files": op5_token_files,
     "op6_decontaminate": op6_decontaminate,
     "op7_repeats": op7_repeats,
     "op8_near_duplicates": op8_near_duplicates,
