@@ -129,6 +129,14 @@ def find(
     )
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, set_bytes: int = SET_BYTES) -> DataFrame:
+    """The documents in which no window occurs, all columns as they are."""
+    sets = _sets(benchmark, item_id, item_text, size, set_bytes)
+    found = documents.withColumn("_found", F.array(*[_scanner(known)(F.col(text)) for known in sets]))
+    hit = F.exists("_found", lambda x: F.size(x["spans"]) > 0)
+    return found.where(~hit).select(*[F.col(f"`{name}`") for name in documents.columns])
+
+
 def merged(spans: Column) -> Column:
     """Spans in order, those that touch or overlap joined."""
 

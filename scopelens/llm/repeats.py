@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopelens.llm.blocks import Block, Hashes, blocks, mixed
@@ -334,6 +334,16 @@ def without_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     return joined.mapInArrow(_kept(length), f"{kinds}, n_bytes long, spans array<struct<from: long, to: long>>, kept_bytes binary")
 
 
+def whole_characters(kept: str = "kept_bytes") -> Column:
+    """Kept bytes as text; a character that a cut left in part is dropped."""
+
+    @F.arrow_udf("string")
+    def decoded(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in values.to_pylist()], pa.string())
+
+    return decoded(F.col(kept))
+
+
 def digest(kept: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return kept.select(
         doc_id,
