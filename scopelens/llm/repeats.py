@@ -11,7 +11,9 @@ pieces that can be sorted apart and lose no match:
    equal distance, so stretches are dealt out by anchor. Stretches with equal bytes are all repeats but
    the first; a task settles those within a block of texts before anything is shuffled.
 2. First stretches of equal anchor that also agree on the middle part which all strings in a quarter of
-   the anchor's range share are cut to the pieces of that quarter, at most 120 bytes.
+   the anchor's range share are cut to the pieces of that quarter. The middle, some 80 bytes that
+   all pieces of a key have in common, is written as the key's number in ``DIGITS`` bytes, which leaves
+   some 40 bytes.
 3. The pieces dealt to a task form a collection whose Burrows-Wheeler transform and common prefixes are
    built column by column in sequential files (``column_bwt``). Suffixes that share ``length`` bytes
    with their predecessor are one string; all its occurrences but the first are repeats.
@@ -36,10 +38,12 @@ from scopelens.llm.blocks import Block, Hashes, blocks, mixed
 from scopelens.llm.column_bwt import sorted_suffixes
 from scopelens.llm.tables import stored
 
-ANCHOR = 28
-QUARTERS = 4
+ANCHOR, QUARTERS = 28, 4
+#: Pieces of a collection, which ends with the first key that begins after so many; bytes of a key's number.
+COLLECTION, DIGITS = 60_000, 4
 _STRETCHES = "anchor long, same long, parts long, id long, place long, count int, settled boolean"
-_FOUND = "id long, text_hash int, start long, count int, key long, before int"
+_FOUND = "id long, text_hash int, start long, count int, key long, quarter int, before int"
+_PIECE = ["key", "id", "text_hash", "start", "quarter", "before", "after"]
 
 
 # A stretch's place holds the text's hash, the first string's start and the anchor's distance from it,
@@ -52,9 +56,9 @@ def _text_hash(block: Block, hashes: Hashes) -> np.ndarray:
 
 
 def _ranges(length: int) -> list[tuple[int, int]]:
-    """First and last start, relative to the anchor, of each quarter."""
-    cuts = np.linspace(-(length - ANCHOR), 1, QUARTERS + 1).astype(int)
-    return [(int(a), int(b) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    """First and last start, relative to the anchor, of each quarter; all of one width."""
+    width = -(-(length - ANCHOR + 1) // QUARTERS)
+    return [(1 - width * (k + 1), -width * k) for k in range(QUARTERS)]
 
 
 def _stretches(block: Block, hashes: Hashes, length: int):
@@ -135,7 +139,7 @@ def _split(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (place >> _HASH_SHIFT).astype(np.int32), start, place & ((1 << _START_SHIFT) - 1)
 
 
-def _found(ids, place, start, count, key=None, before=None) -> pa.RecordBatch:
+def _found(ids, place, start, count, key=None, quarter=None, before=None) -> pa.RecordBatch:
     """Repeated strings (no key), or pieces to compare."""
     none = pa.nulls(len(ids), pa.int64())
     return pa.RecordBatch.from_arrays(
@@ -145,9 +149,10 @@ def _found(ids, place, start, count, key=None, before=None) -> pa.RecordBatch:
             pa.array(start),
             pa.array(count.astype(np.int32)),
             none if key is None else pa.array(key),
+            none.cast(pa.int32()) if quarter is None else pa.array(np.full(len(ids), quarter, np.int32)),
             none.cast(pa.int32()) if before is None else pa.array(before.astype(np.int32)),
         ],
-        ["id", "text_hash", "start", "count", "key", "before"],
+        ["id", "text_hash", "start", "count", "key", "quarter", "before"],
     )
 
 
@@ -177,7 +182,7 @@ def _settle(length: int):
                 _, start, distance = _split(place[mine])
                 first = np.maximum(start, start + distance + low)
                 last = np.minimum(start + count[mine] - 1, start + distance + high)
-                yield _found(ids[mine], place[mine], first, last - first + 1, key, np.zeros(len(mine)))
+                yield _found(ids[mine], place[mine], first, last - first + 1, key, k, start + distance + high - first)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -198,7 +203,8 @@ def _settle(length: int):
 
 
 def _pieces(length: int):
-    """The bytes of each piece, from rows of a text with its pieces."""
+    """The bytes of each piece before and after its middle, from rows of a text with its pieces."""
+    middles = [length + low - high for low, high in _ranges(length)]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,25 +216,31 @@ def _pieces(length: int):
                     doc = batch.column("id")[block.first + row].as_py()
                     for piece in batch.column("pieces")[block.first + row].as_py():
                         if piece["text_hash"] == hashes[row]:
-                            start = piece["start"]
-                            out.append((piece["key"], doc, piece["text_hash"], start, text[start : start + piece["count"] - 1 + length]))
+                            start, middle = piece["start"], piece["start"] + piece["before"]
+                            after = text[middle + middles[piece["quarter"]] : start + piece["count"] - 1 + length]
+                            out.append((piece["key"], doc, piece["text_hash"], start, piece["quarter"], text[start:middle], after))
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "id", "text_hash", "start", "bytes"])
+                    yield pa.RecordBatch.from_arrays(columns, _PIECE)
 
     return pieces
 
 
 def _compare(length: int):
     """Repeated strings among the pieces of a partition, in collections of bounded size."""
+    wanted = -(-(length - ANCHOR + 1) // QUARTERS) - 1 + DIGITS  # symbols of a string
 
     def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        ids, text_hash, start = (np.asarray(table.column(c)) for c in ("id", "text_hash", "start"))
+        ids, text_hash, start, key = (np.asarray(table.column(c)) for c in ("id", "text_hash", "start", "key"))
+        before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
+        number = np.cumsum(np.append(0, key[1:] != key[:-1])).tolist()
+        strings = [a + k.to_bytes(DIGITS, "big") + b for a, k, b in zip(before, number, after, strict=True)]
+        ahead, number = np.array([len(a) for a in before]), np.array(number)
         repeats: list[np.ndarray] = []
-        for who, begin, shared in sorted_suffixes(table.column("bytes").to_pylist()):
-            same = shared >= length
+        for who, begin, shared in sorted_suffixes(strings):
+            same = shared >= wanted
             same[:1] = False
             inside = same.copy()
             inside[:-1] |= same[1:]  # with the first of each string
@@ -237,12 +249,15 @@ def _compare(length: int):
                 continue
             string = np.cumsum(~same[at])
             who, begin = who[at].astype(np.int64), begin[at].astype(np.int64)
-            order = np.lexsort((start[who] + begin, text_hash[who], ids[who], string))
+            # equal symbols are equal strings if they hold the number of the same key at the same place
+            kind, offset = number[who], ahead[who] - begin
+            order = np.lexsort((start[who] + begin, text_hash[who], ids[who], offset, kind, string))
+            changes = np.zeros(len(order) - 1, bool)
+            for column in (string[order], kind[order], offset[order]):
+                changes |= column[1:] != column[:-1]
             own = who[order]
-            _, repeated = _firsts(
-                string[order[1:]] != string[order[:-1]], ids[own], (text_hash[own].astype(np.int64) << _HASH_SHIFT) + start[own] + begin[order]
-            )
-            later = order[repeated]
+            place = (text_hash[own].astype(np.int64) << _HASH_SHIFT) + start[own] + begin[order]
+            later = order[_firsts(changes, ids[own], place)[1]]
             repeats.append(np.stack([who[later], start[who[later]] + begin[later]]))
         if repeats:
             who, place = np.concatenate(repeats, axis=1)
@@ -276,10 +291,6 @@ def _compare(length: int):
     return compare
 
 
-#: Pieces of a collection; it ends with the first key that begins after so many.
-COLLECTION = 60_000
-
-
 def _kept(length: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -321,8 +332,8 @@ def without_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     stretches = texts.where(F.octet_length("text") >= length).mapInArrow(_cut(length), _STRETCHES)
     dealt = stretches.repartition(_parts(stretches), "anchor").sortWithinPartitions("anchor", "same", "settled", "id", "place")
     found = stored(dealt.mapInArrow(_settle(length), _FOUND))
-    wanted = found.where("key is not null").groupBy("id").agg(F.collect_list(F.struct("key", "text_hash", "start", "count")).alias("pieces"))
-    pieces = texts.join(wanted, "id").mapInArrow(_pieces(length), "key long, id long, text_hash int, start long, bytes binary")
+    wanted = found.where("key is not null").groupBy("id").agg(F.collect_list(F.struct("key", "quarter", "text_hash", "start", "count", "before")).alias("pieces"))
+    pieces = texts.join(wanted, "id").mapInArrow(_pieces(length), "key long, id long, text_hash int, start long, quarter int, before binary, after binary")
     pieces = pieces.repartition(_parts(pieces), "key").sortWithinPartitions("key")
     compared = pieces.mapInArrow(_compare(length), "id long, text_hash int, start long, count int")
     repeats = stored(found.where("key is null").select("id", "text_hash", "start", "count").union(compared))
