@@ -44,7 +44,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines and orders are large on both sides and join by a shuffle, which adaptive execution splits
     where one order is hot. No broadcast hints: parts are broadcast if their size allows it.
     """
-    lines = table(spark, sf_dir, "lineitem").withColumn("event_date", F.col("l_shipdate").cast("date"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("event_date", F.col("l_shipdate"))
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(

@@ -145,6 +145,11 @@ def wide(rows: str, brand: str, brands: list[str], where: str) -> str:
     return f"{WITH_CASES} SELECT {rows}, {cells} FROM cases WHERE {where} GROUP BY 1"
 
 
+def placed(table: str, first: str, label: str) -> str:
+    order = f'"{first}" DESC, {label} ASC NULLS FIRST'
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place FROM ({table})"
+
+
 def category(where: str) -> str:
     return wide(f"{title(_subcat1())} AS category", f"({SHOWN_BRAND})", SHOWN_BRANDS, where)
 
@@ -282,6 +287,32 @@ UNION ALL
 SELECT {name} || ' ' || chr(10) || 'Total de manifestações por categoria ' || chr(10) || 'jan/96 a dez/96'"""
 
 
+def pack_captions() -> str:
+    name = f"(SELECT label FROM ({SCOPE_LABEL}))"
+    both = f"((SELECT count(*) FROM cases WHERE {CHANNEL_PERIOD} AND ({TRADITIONAL})) + (SELECT count(*) FROM cases WHERE {CHANNEL_PERIOD} AND ({DIGITAL})))"
+    social = "(case_type <> '5-LOW' OR case_group IS NOT NULL OR case_type IS NULL)"
+
+    def total(*conditions: str) -> str:
+        return f"(SELECT count(*) FROM cases WHERE {' AND '.join(conditions)})"
+
+    rows = [("channel_evolution", f"'Evolução das manifestações por canal' || chr(10) || {both} || ' manifestações - jun/95 a dez/99'")]
+    for suffix, where, two, dash in (("", PERIOD, "jan/96 a dez/96", "jan/96 - dez/96"), ("_last", LAST, "dez/96", "dez/96")):
+        rows += [
+            ("type_breakdown" + suffix, f"'Representatividade de tipos de ocorrência' || chr(10) || {total(where, social)} || ' manifestações - {two}'"),
+            ("complaint_pareto" + suffix, f"'10 principais motivos de reclamações ' || chr(10) || {total(where, COMPLAINT, 'reason IS NOT NULL')} || ' reclamações - {two}'"),
+            (
+                "other_pareto" + suffix,
+                f"'10 principais manifestações (exceto reclamações) ' || chr(10) || {total(where, OTHER, 'reason IS NOT NULL')} || ' manifestações - {dash}'",
+            ),
+            ("category_brand" + suffix, f"'Total de manifestações por categoria ' || chr(10) || '{two}'"),
+            ("line_variant" + suffix, f"'Total de manifestações por tipo de corte - 10 Principais Cortes ' || chr(10) || '{two}'"),
+            ("subcat2" + suffix, f"'Total de manifestações por tipo de Subcategorias - 10 Principais manifestações ' || chr(10) || '{two}'"),
+        ]
+    return f"{WITH_CASES} " + " UNION ALL ".join(
+        f"SELECT '{sheet}' AS sheet, {name} || ' ' || chr(10) || {text} AS caption" for sheet, text in rows
+    )
+
+
 COMPLAINTS = f"{COMPLAINT} AND {PERIOD}"
 REASON_TOP = with_remainder("reason", "reason", COMPLAINTS)
 REASON_ORDER = "ORDER BY bucket, total DESC, reason ASC NULLS FIRST"
@@ -366,7 +397,7 @@ ORACLE: dict[str, str] = {
         SELECT case_type, total, CAST({TYPE_RANK} AS INTEGER) AS rank
         FROM ({count('case_type', 'case_type', PERIOD)})""",
     "remainder_last": f"SELECT reason, total, CAST(reason = 'remainder' AS INTEGER) AS bucket FROM ({REASON_TOP})",
-    "pivot_sorted": wide("subcat1", "brand", BRANDS, PERIOD),
+    "pivot_sorted": placed(wide("subcat1", "brand", BRANDS, PERIOD), BRANDS[1], "subcat1"),
     "union_all_parts": type_parts(PERIOD),
     "present_categories": f"""
         SELECT DISTINCT case_type, CAST({TYPE_RANK} AS INTEGER) AS rank
@@ -395,6 +426,29 @@ ORACLE: dict[str, str] = {
     "r_total_cases": select("count(*) AS total", PERIOD),
     "r_report_pack": full_pack(),
     "r_report_pack_per_key_set": full_pack(),
+    "r_report_pack_one_pass": full_pack(),
+    "r_report_pack_given_brands": full_pack(),
+    "r_report_pack_captions": pack_captions(),
+    "report_attributes": f"""
+        SELECT label, CASE WHEN {TYPE_RANK.replace('case_type', 'label')} IS NOT NULL THEN
+               list_extract(['#FFD700', '#70AD47', '#5B9BD5', 'red', 'F4A460'], {TYPE_RANK.replace('case_type', 'label')}) END AS colour
+        FROM (SELECT case_type AS label FROM ({breakdown(PERIOD)}))
+        UNION ALL
+        SELECT reason, CASE lower(split_part(reason, ' - ', 1)) WHEN '2-high' THEN '#22' WHEN '5-low' THEN '#55' ELSE '#00' END
+        FROM ({pareto(TYPE_REASON, f"{OTHER} AND {PERIOD}")})""",
+    "read_cases_timestamp_day": """
+        SELECT l_returnflag AS case_type, count(*) AS total FROM lineitem
+        WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'
+          AND l_shipdate + to_hours(3 * l_linenumber) < DATE '1997-01-01' GROUP BY 1""",
+    "read_cases_mid_month": """
+        SELECT CAST(date_trunc('month', l_shipdate) AS date) AS month, count(*) AS total FROM lineitem
+        WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' GROUP BY 1""",
+    "scopes_from_table": many_scope_totals(),
+    "pivot_special_names": f"""
+        {WITH_CASES} SELECT subcat1 AS "subcat1_", count(*) FILTER (WHERE brand = 'Brand#11') AS "Dr.Oetker",
+               count(*) FILTER (WHERE brand = 'Brand#12') AS "a`b", count(*) FILTER (WHERE brand = 'Brand#14') AS "EMPTY",
+               count(*) FILTER (WHERE brand = 'Brand#15') AS "subcat1"
+        FROM cases WHERE {PERIOD} GROUP BY 1""",
     "r_report_pack_direct": full_pack(),
     "r_report_packs": " UNION ALL ".join(
         f"SELECT {scope_id} AS scope_id, * FROM ({full_pack(where)})" for scope_id, where in SCOPES.items()
@@ -412,8 +466,8 @@ ORACLE: dict[str, str] = {
     "r_complaint_pareto_last": pareto("reason", f"{COMPLAINT} AND {LAST}"),
     "r_other_pareto": pareto(TYPE_REASON, f"{OTHER} AND {PERIOD}"),
     "r_other_pareto_last": pareto(TYPE_REASON, f"{OTHER} AND {LAST}"),
-    "r_category_brand": category(PERIOD),
-    "r_category_brand_last": category(LAST),
+    "r_category_brand": placed(category(PERIOD), SHOWN_BRANDS[0], "category"),
+    "r_category_brand_last": placed(category(LAST), SHOWN_BRANDS[0], "category"),
     "r_category_brand_long": category_long(PERIOD),
     "r_top_line_variant": ranked(LINE_VARIANT, "line_variant", PERIOD),
     "r_top_line_variant_last": ranked(LINE_VARIANT, "line_variant", LAST),

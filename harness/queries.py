@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from harness.bindings import (
     CHANNEL_END,
@@ -24,9 +24,10 @@ from harness.bindings import (
 from scopelens.functions import labels, months
 from scopelens.model import CASE_SCHEMA, TOTAL
 from scopelens.operators import aggregate, filters, joins, pivot, rank, sets
-from scopelens.plans import pack, reports
-from scopelens.plans.shared_counts import PER_KEY_SET
+from scopelens.plans import attributes, pack, reports
+from scopelens.plans.shared_counts import ONE_PASS, PER_KEY_SET
 from scopelens.sources import scopes as scope_source
+from scopelens.sources.cases import TableSource, read_cases
 from scopelens.sources.sinks import manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +56,33 @@ def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_cases(spark, d):
-    return cases(spark, d).select(*RAW, "channel")
+    return read_view(spark, cases(spark, d), "scan_cases").select(*RAW, "channel")
+
+
+def read_view(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    df.createOrReplaceTempView(f"cases_{name}")
+    return read_cases(spark, TableSource(f"cases_{name}"))
+
+
+def line_cases(spark: SparkSession, d: str, *moments: str) -> DataFrame:
+    """Lines as cases; ``moments`` are the expressions of month and, perhaps, event_date."""
+    texts = ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey")
+    named = [F.expr(moment).alias(name) for moment, name in zip(moments, ("month", "event_date"))]
+    labels_ = [F.col(texts[at % len(texts)]).cast("string").alias(name) for at, name in enumerate(RAW[1:])]
+    return table(spark, d, "lineitem").select(*named, *labels_)
+
+
+def read_cases_timestamp_day(spark, d):
+    """Events with a time of day: the last day of a month counts to its end."""
+    rows = line_cases(spark, d, "l_shipdate", "l_shipdate + make_interval(0, 0, 0, 0, 3 * l_linenumber)")
+    read = read_view(spark, rows, "timestamp_day")
+    return aggregate.count_by(filters.in_month_range(read, START, END), "case_type")
+
+
+def read_cases_mid_month(spark, d):
+    """Months stored as any day: cases are told by month all the same."""
+    read = read_view(spark, line_cases(spark, d, "CAST(l_shipdate AS date)"), "mid_month")
+    return aggregate.count_rows(filters.in_month_range(read, START, END), ["month"])
 
 
 def scope_filter(spark, d):
@@ -98,6 +125,23 @@ def multi_scope_total(spark, d):
     return reports.total_cases(cases(spark, d), known.scopes(ids), START, END)
 
 
+def scopes_from_table(spark, d):
+    """The same hundred scopes, defined by rows."""
+    base = spark.sql(
+        "SELECT * FROM VALUES (1000, NULL, NULL), (8006, 1000, \"channel = 'digital'\"), "
+        "(9006, 1000, \"channel = 'traditional'\") AS t(scope_id, parent_id, condition)"
+    )
+    at = F.col("p_partkey").cast("int") - 1
+    first = 1995 + (at / 2).cast("int") % 7
+    end = first + 1 + (at / 14).cast("int")
+    condition = F.format_string("month >= DATE'%d-01-01' AND month < DATE'%d-01-01'", first, end)
+    more = table(spark, d, "part").where(at.between(0, 96)).select(
+        (20000 + at).alias("scope_id"), F.when(at % 2 == 0, 8006).otherwise(9006).alias("parent_id"), condition.alias("condition")
+    )
+    known = scope_source.ScopeRegistry.from_table(base.union(more), ("channel", "month"))
+    return reports.total_cases(cases(spark, d), known.scopes(known.ids()), START, END)
+
+
 def multi_scope_total_by_case(spark, d):
     """The same from conditions evaluated on every case."""
     known, ids = many_scopes(100, declared=False)
@@ -237,10 +281,19 @@ def distinct_brands(spark, d):
 def brand_list(spark, d):
     shown = reports.brand_names(cases(spark, d), scope(), TAXONOMY)
     return aggregate.ordered_label_list(
-        shown, "brand", reports.title_last(TAXONOMY), "brands", pivot.pivot_limit(shown)
+        shown, "brand", reports.title_last(TAXONOMY), "brands", pivot.MOST_LABELS
     )
 
 
+def pivot_special_names(spark, d):
+    """Labels with a dot, a backtick, no character, and the name of the row column."""
+    odd = {"Brand#11": "Dr.Oetker", "Brand#12": "a`b", "Brand#14": "", "Brand#15": "subcat1"}
+    rows = filters.in_month_range(cases(spark, d), START, END).withColumn("brand", labels.map_value(F.col("brand"), odd))
+    counts = aggregate.count_rows(rows, ["subcat1", "brand"])
+    wide = pivot.pivot_counts(counts, "subcat1", "brand", pivot.column_labels(counts, "brand", ""))
+    return wide.toDF(*[name or "EMPTY" for name in wide.columns])
+
+
 def pivot_brand(spark, d):
     rows = cases(spark, d)
     brands = pivot.column_labels(aggregate.distinct_labels(rows, "brand"), "brand", TAXONOMY.catch_all_brand)
@@ -296,7 +349,12 @@ def remainder_last(spark, d):
 
 
 def pivot_sorted(spark, d):
-    return rank.sort_by_position(pivot_brand(spark, d), 1, "subcat1")
+    return placed(rank.sort_by_position(pivot_brand(spark, d), 1, "subcat1"))
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """The place of each row of a small sorted report."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
 # Sets
@@ -434,12 +492,37 @@ def r_report_pack_per_key_set(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=PER_KEY_SET)
 
 
+def r_report_pack_one_pass(spark, d):
+    return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=ONE_PASS)
+
+
 def r_report_packs(spark, d):
-    """The packs of five scopes from one pass."""
+    """The packs of five scopes together."""
     requests = [replace(PARAMS, scope=scope_id) for scope_id in registry().ids()]
     return pack.report_packs(cases(spark, d), registry(), requests, TAXONOMY)
 
 
+def r_report_pack_given_brands(spark, d):
+    """With the brands of the catalogue instead of a scan of all months."""
+    brands = table(spark, d, "part").select(F.nullif("p_brand", F.lit("Brand#13")).alias("brand")).distinct()
+    return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, brands=brands)
+
+
+def r_report_pack_captions(spark, d):
+    frames = pack.report_sheets(cases(spark, d), registry(), PARAMS, TAXONOMY)
+    return pack.pack_captions(frames, PARAMS, scope_source.scope_label(catalogue(spark, d), 7), TAXONOMY)
+
+
+def report_attributes(spark, d):
+    """Colours of the types present, and of the types in front of the other reasons."""
+    rows = cases(spark, d)
+    types = attributes.type_colours(reports.type_breakdown(rows, scope(), START, END, taxonomy=TAXONOMY), taxonomy=TAXONOMY)
+    others = attributes.prefix_colours(
+        reports.other_pareto(rows, scope(), START, END, taxonomy=TAXONOMY), "reason", {"2-High": "#22", "5-LOW": "#55"}, "#00"
+    )
+    return sets.union_all([types.select(F.col("case_type").alias("label"), "colour"), others.select(F.col("reason").alias("label"), "colour")])
+
+
 def r_report_pack_direct(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=pack.PER_REPORT)
 
@@ -508,6 +591,14 @@ QUERIES: dict[str, Query] = {
         r_total_cases,
         r_report_pack,
         r_report_pack_per_key_set,
+        r_report_pack_one_pass,
+        r_report_pack_given_brands,
+        r_report_pack_captions,
+        report_attributes,
+        read_cases_timestamp_day,
+        read_cases_mid_month,
+        scopes_from_table,
+        pivot_special_names,
         r_report_pack_direct,
         r_report_packs,
     )
@@ -520,8 +611,8 @@ QUERIES: dict[str, Query] = {
     "r_complaint_pareto_last": _report(reports.complaint_pareto, last=True),
     "r_other_pareto": _report(reports.other_pareto),
     "r_other_pareto_last": _report(reports.other_pareto, last=True),
-    "r_category_brand": _report(reports.category_by_brand),
-    "r_category_brand_last": _report(reports.category_by_brand, last=True),
+    "r_category_brand": lambda spark, d: placed(_report(reports.category_by_brand)(spark, d)),
+    "r_category_brand_last": lambda spark, d: placed(_report(reports.category_by_brand, last=True)(spark, d)),
     "r_category_brand_long": _report(reports.category_by_brand_long),
     "r_top_line_variant": _report(reports.top_line_variant),
     "r_top_line_variant_last": _report(reports.top_line_variant, last=True),

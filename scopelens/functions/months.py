@@ -35,14 +35,17 @@ def month_label(
 def within(period: Period, columns: list[str]) -> Column:
     """True for the months of a period, ends included.
 
-    Where the table keeps the day of the case, the day is bounded instead. It says the same, is
-    cheaper, and reaches the scan when ``month`` is computed from it.
+    ``month`` is always bounded, so that a table stored by month is pruned. Where the table keeps the
+    moment of the case as well, that is bounded by the same days, the end excluded: it reaches the scan
+    when ``month`` is computed from it, and holds for dates and timestamps alike.
     """
-    if EVENT_DATE in columns:
-        return F.col(EVENT_DATE).between(F.lit(period.start), F.lit(last_day(period.end)))
-    return F.col(MONTH).between(F.lit(period.start), F.lit(period.end))
+    months = F.col(MONTH).between(F.lit(period.start), F.lit(period.end))
+    if EVENT_DATE not in columns:
+        return months
+    day = F.col(EVENT_DATE)
+    return months & (day.isNull() | ((day >= F.lit(period.start)) & (day < F.lit(following(period.end)))))
 
 
-def last_day(month: date) -> date:
-    following = date(month.year + month.month // 12, month.month % 12 + 1, 1)
-    return date.fromordinal(following.toordinal() - 1)
+def following(month: date) -> date:
+    """The first day of the next month."""
+    return date(month.year + month.month // 12, month.month % 12 + 1, 1)

@@ -17,8 +17,8 @@ SUBCAT2 = "subcat2"
 LINE = "line"
 VARIANT = "variant"
 
-# Optional: the day the case arrived, a day of ``month``. Where a table has it, month filters bound
-# this column, because Catalyst can push a bound on a plain date to the scan but not one on
+# Optional: the day or moment the case arrived, within ``month``. Where a table has it, month filters
+# bound it too, because Catalyst can push a bound on a plain column to the scan but not one on
 # trunc(date).
 EVENT_DATE = "event_date"
 

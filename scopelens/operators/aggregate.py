@@ -73,7 +73,7 @@ def ordered_label_list(labels: DataFrame, column: str, last: str, name: str, at_
     The text is for a header, so more than ``at_most`` labels is an error, never a cut list.
     """
     entry = F.struct((F.col(column) == F.lit(last)).cast("int").alias("bucket"), F.col(column).alias("label"))
-    entries = labels.limit(at_most + 1).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    entries = labels.select(column).distinct().limit(at_most + 1).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     too_many = F.raise_error(F.lit(f"more than {at_most} values of {column}"))
     checked = F.when(F.size("entries") > at_most, too_many.cast("string"))
     return entries.select(

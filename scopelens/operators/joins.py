@@ -17,10 +17,15 @@ def remainder_of(counts: DataFrame, top: DataFrame, label: str) -> DataFrame:
     """Groups whose label is not among ``top``, which must be a top-n result.
 
     This is SQL's NOT IN: a NULL label is never in the remainder, and a NULL in ``top`` leaves
-    nothing. Spark broadcasts ``top`` for it; its n rows bound that. Reports take the remainder
-    from ``top_n_with_remainder`` instead, which needs no join.
+    nothing. Spark would always broadcast ``top`` for NOT IN; as an anti join on the labels beside one
+    row that says whether ``top`` holds a NULL, the join is Spark's to choose. Over an empty ``top``
+    everything with a label is left. Reports take the remainder from ``top_n_with_remainder`` instead, which
+    needs no join.
     """
-    return counts.where(~F.col(label).isin(top.select(label)))
+    labels = top.select(label)
+    holds_null = labels.agg(F.coalesce(F.bool_or(F.col(label).isNull()), F.lit(False)).alias("holds_null")).scalar()
+    named = counts.where(F.col(label).isNotNull() & ~holds_null)
+    return named.join(labels.where(F.col(label).isNotNull()).distinct(), label, "left_anti").select(*counts.columns)
 
 
 def sum_remainder(counts: DataFrame, top: DataFrame, label: str, name: str, value: str = TOTAL) -> DataFrame:

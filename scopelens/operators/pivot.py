@@ -4,36 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scopelens.model import TOTAL
 
+# Columns a wide table, or labels a one-row list, may have unless the caller says otherwise. A schema
+# needs a bound; beyond it is an error, never a cut, and the long form has none.
+MOST_LABELS = 10_000
 
-def pivot_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
 
-
-def column_labels(labels: DataFrame, column: str, last: str) -> list[str]:
+def column_labels(labels: DataFrame, column: str, last: str, most: int = MOST_LABELS) -> list[str]:
     """The labels that become columns: ascending, the catch-all last.
 
-    A schema must be known before the query is planned, so this is the library's one action outside
-    a write. It brings at most ``spark.sql.pivotMaxValues`` labels; more is an error.
+    A schema must be known before the query is planned, so this is an action. It brings at most
+    ``most`` labels to the driver; more is an error.
     """
-    limit = pivot_limit(labels)
-    found = [row[0] for row in labels.select(column).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} values of {column}: use the long form")
+    found = [row[0] for row in labels.select(named(column)).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}: use the long form")
     return sorted((name for name in found if name is not None), key=lambda name: (name == last, name))
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def pivot_counts(
     counts: DataFrame, rows: str, columns: str, values: Sequence[str], value: str = TOTAL
 ) -> DataFrame:
     """One row per ``rows`` label, one column per entry of ``values``, 0 where nothing was counted.
 
-    Passing the values saves Spark a job and keeps a NULL label from becoming a column.
+    The entries may be any texts. The row column comes first; where an entry has its name, in any
+    case, underscores are added to it, as no two columns can share a name.
     """
+    taken = {name.lower() for name in values}
+    shown = rows
+    while shown.lower() in taken:
+        shown += "_"
     if not values:
-        return counts.select(rows).distinct()
-    wide = counts.groupBy(rows).pivot(columns, list(values)).agg(F.sum(value))
-    return wide.na.fill(0, subset=list(values))
+        return counts.select(named(rows)).distinct()
+    cells = [F.coalesce(F.sum(F.when(named(columns) == F.lit(name), named(value))), F.lit(0)).alias(name) for name in values]
+    return counts.groupBy(named(rows).alias(shown)).agg(*cells)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scopelens.functions.labels import fold, map_value
 from scopelens.model import TOTAL
+from scopelens.operators.pivot import named
 
 BUCKET = "bucket"
 
@@ -117,7 +118,7 @@ def sort_by_position(df: DataFrame, position: int, label: str) -> DataFrame:
     """Largest first by the column at a position; a frame too narrow for it stays as it is."""
     if len(df.columns) <= position:
         return df
-    return df.orderBy(F.col(f"`{df.columns[position]}`").desc(), F.col(label).asc_nulls_first())
+    return df.orderBy(named(df.columns[position]).desc(), named(label).asc_nulls_first())
 
 
 def sort_asc(df: DataFrame, key: str) -> DataFrame:

@@ -20,13 +20,15 @@ from scopelens.plans.reports import (
     channel_evolution,
     channel_evolution_from,
     complaint_pareto_from,
+    given_brands,
     other_pareto_from,
+    report_caption,
     title_last,
     top_line_variant_from,
     top_subcat2_from,
     type_breakdown_from,
 )
-from scopelens.plans.shared_counts import DIGITAL, ONE_PASS, TRADITIONAL, KeySet, SharedCounts, shared_counts
+from scopelens.plans.shared_counts import DIGITAL, PER_KEY_SET, TRADITIONAL, KeySet, SharedCounts, shared_counts
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
 
@@ -61,12 +63,20 @@ class DirectCounts:
 
     by: list[str] = []
 
-    def __init__(self, cases: DataFrame, registry: ScopeRegistry, params: ReportParams, taxonomy: Taxonomy) -> None:
+    def __init__(
+        self,
+        cases: DataFrame,
+        registry: ScopeRegistry,
+        params: ReportParams,
+        taxonomy: Taxonomy,
+        listed: DataFrame | None = None,
+    ) -> None:
         self._cases = cases
         self._scope = registry.scope(params.scope)
         self._channels = [registry.scope(params.traditional_scope), registry.scope(params.digital_scope)]
         self._params = params
         self._taxonomy = taxonomy
+        self._listed = listed
 
     def counts(self, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
         periods = self._params.months
@@ -84,6 +94,8 @@ class DirectCounts:
         ).select(MONTH, TRADITIONAL, DIGITAL)
 
     def brands(self) -> DataFrame:
+        if self._listed is not None:
+            return given_brands(self._listed, self._scope, self._taxonomy)
         return brand_names(self._cases, self._scope, self._taxonomy)
 
 
@@ -155,15 +167,18 @@ def report_sheets(
     params: ReportParams,
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
     style: str = "title",
+    brands: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The frames of a pack by sheet.
 
-    ``counting`` says how the cases are read: ``one_pass`` where they are a join or otherwise costly
-    to produce, ``per_key_set`` where they are stored, ``per_report`` for every report by itself.
+    ``counting`` says how the cases are read: ``per_key_set`` where they are stored, ``one_pass`` where
+    they are a join or otherwise costly to produce, ``per_report`` for every report by itself. The
+    first two count in a job of their own when the pack is made. ``brands``, one column ``brand``,
+    is a maintained list; without it all months are scanned for the brands.
     """
-    source = pack_source(cases, registry, params, taxonomy, sheets, counting)
+    source = pack_source(cases, registry, params, taxonomy, sheets, counting, brands)
     reports = pack_reports(source, sheets, params.top, taxonomy, style)
     frames = {}
     for sheet in sheets:
@@ -179,15 +194,17 @@ def report_pack(
     params: ReportParams,
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
     style: str = "title",
+    brands: DataFrame | None = None,
 ) -> DataFrame:
     """A pack as one long table: sheet, position, label, series, value.
 
     Sheets are read in the order of ``position``, NULL last, then ``label``. Positions ascend but
-    need not be consecutive, so no sheet has to be numbered row by row.
+    need not be consecutive, so no sheet has to be numbered row by row. ``counting`` and ``brands`` as
+    for ``report_sheets``.
     """
-    source = pack_source(cases, registry, params, taxonomy, sheets, counting)
+    source = pack_source(cases, registry, params, taxonomy, sheets, counting, brands)
     reports = pack_reports(source, sheets, params.top, taxonomy, style)
     return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
 
@@ -198,8 +215,9 @@ def report_packs(
     requests: Sequence[ReportParams],
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
     style: str = "title",
+    brands: DataFrame | None = None,
 ) -> DataFrame:
     """The packs of many scopes in one long table with a ``scope_id``.
 
@@ -213,7 +231,7 @@ def report_packs(
         raise ValueError("packs made together must have the same months and size")
     if len({request.scope for request in requests}) < len(requests):
         raise ValueError("packs made together must have different scopes")
-    source = pack_source(cases, registry, list(requests), taxonomy, sheets, counting)
+    source = pack_source(cases, registry, list(requests), taxonomy, sheets, counting, brands)
     reports = pack_reports(source, sheets, first.top, taxonomy, style)
     return union_all([long_form(report, frame, taxonomy) for report, frame in reports.items()])
 
@@ -224,14 +242,37 @@ def pack_source(
     requests: ReportParams | list[ReportParams],
     taxonomy: Taxonomy = PORTUGUESE,
     sheets: Sequence[str] = FULL_PACK,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
+    brands: DataFrame | None = None,
 ) -> SharedCounts | DirectCounts:
     if counting == PER_REPORT and isinstance(requests, ReportParams):
-        return DirectCounts(cases, registry, requests, taxonomy)
+        return DirectCounts(cases, registry, requests, taxonomy, brands)
+    single = isinstance(requests, ReportParams)
+    scope = registry.scope(requests.scope) if single else registry.scopes(request.scope for request in requests)
+    listed = None if brands is None else given_brands(brands, scope, taxonomy)
     asked, keys = asked_reports(sheets), report_keys(sheets)
     key_sets = list(dict.fromkeys(keys[report] for report in asked if report != CHANNELS))
-    channels, brands = CHANNELS in asked, CATEGORIES in asked
-    return shared_counts(cases, registry, requests, key_sets, channels, brands, counting, taxonomy)
+    channels, scan_brands = CHANNELS in asked, CATEGORIES in asked and listed is None
+    return shared_counts(cases, registry, requests, key_sets, channels, scan_brands, counting, taxonomy, listed)
+
+
+def pack_captions(
+    frames: dict[str, DataFrame], params: ReportParams, title: str | DataFrame, taxonomy: Taxonomy = PORTUGUESE
+) -> DataFrame:
+    """The caption of each sheet of ``report_sheets``: scope title, subject, total and period.
+
+    Totals are sums of the sheets' own rows, so the cases are not read again.
+    """
+    spans = {RANGE: (params.start, params.end), FIRST: (None, params.start), LAST: (None, params.end)}
+    captions = []
+    for sheet, frame in frames.items():
+        report, months = sheet_report(sheet)
+        channels = report == CHANNELS
+        start, end = (params.channel_start, params.channel_end) if channels else spans[months]
+        values = (TRADITIONAL, DIGITAL) if channels else (TOTAL,)
+        one = report_caption(frame, title, taxonomy.captions[report], start, end, values, taxonomy)
+        captions.append(one.select(F.lit(sheet).alias("sheet"), "caption"))
+    return union_all(captions)
 
 
 def long_form(report: str, frame: DataFrame, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:

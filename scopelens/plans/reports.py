@@ -44,7 +44,7 @@ from scopelens.model import (
 )
 from scopelens.operators.aggregate import distinct_labels, grand_total
 from scopelens.operators.filters import in_period
-from scopelens.operators.pivot import column_labels, pivot_counts
+from scopelens.operators.pivot import MOST_LABELS, column_labels, pivot_counts
 from scopelens.operators.rank import (
     BUCKET,
     cumulative_share,
@@ -283,6 +283,15 @@ def shown_brands(brands: DataFrame, taxonomy: Taxonomy = PORTUGUESE, by: Sequenc
     return brands.where(F.col(BRAND).isNotNull()).select(*by, title_case(shown).alias(BRAND)).distinct()
 
 
+def given_brands(brands: DataFrame, scope: Scopes, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
+    """A maintained brand list as shown, for each scope."""
+    if isinstance(scope, Scope):
+        return shown_brands(brands, taxonomy)
+    by = by_columns(scope)
+    ids = F.explode(F.array(*[F.lit(one.scope_id) for one in scope]))
+    return shown_brands(brands.select(BRAND, ids.alias(by[0])), taxonomy, by)
+
+
 def category_by_brand(
     cases: DataFrame,
     scope: Scope,
@@ -291,16 +300,18 @@ def category_by_brand(
     month: str | None = None,
     taxonomy: Taxonomy = PORTUGUESE,
     brands: Sequence[str] | None = None,
+    most: int = MOST_LABELS,
 ) -> DataFrame:
     """One row per subcategory, one column per brand, largest first by the first brand.
 
-    The brands are looked up in the scope unless given, which takes a job of its own.
+    The brands are looked up in the scope unless given, which takes a job of its own; more than
+    ``most`` are an error.
     """
     if brands is None:
-        brands = column_labels(brand_names(cases, scope, taxonomy), BRAND, title_last(taxonomy))
+        brands = column_labels(brand_names(cases, scope, taxonomy), BRAND, title_last(taxonomy), most)
     counts = scope_counts(cases, scope, PAIR_KEYS, report_period(start, end, month))
     wide = pivot_counts(category_counts(counts, (), taxonomy), "category", BRAND, brands)
-    return sort_by_position(wide, 1, "category")
+    return sort_by_position(wide, 1, wide.columns[0])
 
 
 def category_by_brand_long(
@@ -310,13 +321,18 @@ def category_by_brand_long(
     end: str | None = None,
     month: str | None = None,
     taxonomy: Taxonomy = PORTUGUESE,
+    brands: DataFrame | None = None,
 ) -> DataFrame:
     """The same table as rows, however many brands there are.
 
     A pair that is not listed counts 0. A category none of whose cases has a brand comes once with
-    brand NULL and 0, a brand without cases in the period once with category NULL and 0.
+    brand NULL and 0, a brand without cases in the period once with category NULL and 0. ``brands``
+    is a maintained list, one column ``brand``; without it all months are scanned for the brands.
     """
     counts = scope_counts(cases, scope, PAIR_KEYS, report_period(start, end, month))
+    if brands is not None:
+        by = [] if isinstance(scope, Scope) else by_columns(scope)
+        return category_by_brand_long_from(counts, given_brands(brands, scope, taxonomy), by, taxonomy)
     if isinstance(scope, Scope):
         return category_by_brand_long_from(counts, brand_names(cases, scope, taxonomy), (), taxonomy)
     by = by_columns(scope)

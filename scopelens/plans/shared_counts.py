@@ -27,7 +27,7 @@ from scopelens.operators.filters import in_period
 from scopelens.operators.sets import union_all
 from scopelens.plans.counts import Scopes, by_columns, by_scope, scope_counts, split_rows
 from scopelens.plans.reports import shown_brands
-from scopelens.session import ensure_checkpoint_dir
+from scopelens.session import stored
 from scopelens.sources.scopes import ScopeRegistry
 from scopelens.vocabulary import PORTUGUESE, Taxonomy
 
@@ -38,9 +38,6 @@ TRADITIONAL, DIGITAL = "traditional", "digital"
 # Besides the sets of grouping columns, named by them: cases by month, and the brand list.
 CHANNELS, BRANDS = "channels", "brands"
 
-# Up to this many rows of counts are kept in one partition, so that the reports shuffle nothing.
-SMALL = 50_000
-
 KeySet = tuple[str, ...]
 
 
@@ -56,11 +53,11 @@ class SharedCounts:
     never by NULL keys: labels can be NULL too.
     """
 
-    def __init__(self, aggregate: DataFrame, taxonomy: Taxonomy = PORTUGUESE, small: bool = False) -> None:
+    def __init__(self, aggregate: DataFrame, taxonomy: Taxonomy = PORTUGUESE, listed: DataFrame | None = None) -> None:
         self.aggregate = aggregate
         self.by = [SCOPE_ID] if SCOPE_ID in aggregate.columns else []
         self._taxonomy = taxonomy
-        self._small = small
+        self._listed = listed
 
     def counts(self, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
         """As ``count_rows`` gives for the scope, for each of the asked months."""
@@ -72,12 +69,13 @@ class SharedCounts:
         return self._part(CHANNELS).select(*self.by, MONTH, TRADITIONAL, DIGITAL)
 
     def brands(self) -> DataFrame:
+        if self._listed is not None:
+            return self._listed
         brands = self._part(BRANDS).select(*self.by, F.col("key_0").alias(BRAND))
         return shown_brands(brands, self._taxonomy, self.by)
 
     def _part(self, name: str) -> DataFrame:
-        chosen = self.aggregate.where(F.col("part") == name)
-        return chosen.coalesce(1) if self._small else chosen
+        return self.aggregate.where(F.col("part") == name)
 
 
 def month_flags(cases: DataFrame, params: ReportParams) -> dict[str, Column]:
@@ -113,6 +111,8 @@ def one_pass(
         flags = {name: registry.scope(params.scope).predicate & months for name, months in flags.items()}
         flags |= channel_flags(cases, registry, params)
         apart: list[str] = []
+        # The bare conditions can reach the scan, which the flags below, NULL counted as false, cannot.
+        rows = rows.where(reduce(operator.or_, flags.values()))
     else:
         rows, apart = split_rows(rows, scope)
     # A condition that is NULL does not count.
@@ -195,7 +195,7 @@ def pack_counts(
     key_sets: Sequence[KeySet],
     channels: bool = True,
     brands: bool = True,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
 ) -> DataFrame:
     """The counts of one pack, or of many with the same periods, lazily, in one frame.
 
@@ -228,16 +228,14 @@ def shared_counts(
     key_sets: Sequence[KeySet],
     channels: bool = True,
     brands: bool = True,
-    counting: str = ONE_PASS,
+    counting: str = PER_KEY_SET,
     taxonomy: Taxonomy = PORTUGUESE,
+    listed: DataFrame | None = None,
 ) -> SharedCounts:
     """Makes the counts and keeps them, a table of label counts, in the checkpoint folder.
 
     Without that cut each report's filter on its own part would be pushed below the counting, and
-    every report would scan the cases again. From there a lost executor costs no second scan. A
-    small result is read as one partition; a larger one stays distributed.
+    every report would scan the cases again. From there a lost executor costs no second scan. This
+    runs a job. ``listed`` are brands as shown, where they are kept elsewhere. The folder is deleted by ``session.forget`` or when the driver ends.
     """
-    ensure_checkpoint_dir(cases.sparkSession)
-    kept = pack_counts(cases, registry, requests, key_sets, channels, brands, counting).checkpoint()
-    small = kept.limit(SMALL + 1).count() <= SMALL
-    return SharedCounts(kept, taxonomy, small)
+    return SharedCounts(stored(pack_counts(cases, registry, requests, key_sets, channels, brands, counting)), taxonomy, listed)

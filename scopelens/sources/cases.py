@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scopelens.functions.months import month_start
-from scopelens.model import CASE_SCHEMA, MONTH
+from scopelens.model import CASE_SCHEMA, EVENT_DATE, MONTH
 
 
 @dataclass(frozen=True)
@@ -72,17 +72,22 @@ def read_cases(
 ) -> DataFrame:
     """The case table under this library's column names.
 
-    ``columns`` maps our names to the table's; others are kept for scope conditions. ``month`` must
-    be a date or a timestamp. A date is taken as it is, so that a filter on it reaches the scan or
-    prunes partitions; it must then be the first of the month.
+    ``columns`` maps our names to the table's; others are kept for scope conditions. ``month`` and
+    ``event_date``, if there is one, must be dates or timestamps. ``month`` becomes the first day of
+    its month, whatever day is stored; without an ``event_date`` the stored day is kept as one, so that
+    month filters still reach the scan.
     """
     cases = source.load(spark).withColumnsRenamed({theirs: ours for ours, theirs in (columns or {}).items()})
     missing = [name for name in CASE_SCHEMA.names if name not in cases.columns]
     if missing:
         raise ValueError(f"case table lacks {', '.join(missing)}")
-    if dict(cases.dtypes)[MONTH] != "date":
-        cases = cases.withColumn(MONTH, month_start(F.col(MONTH)))
-    return cases
+    kinds = dict(cases.dtypes)
+    for name in (MONTH, EVENT_DATE):
+        if kinds.get(name, "date") not in ("date", "timestamp", "timestamp_ntz"):
+            raise ValueError(f"{name} must be a date or a timestamp, not {kinds[name]}")
+    if EVENT_DATE not in kinds:
+        cases = cases.withColumn(EVENT_DATE, F.col(MONTH))
+    return cases.withColumn(MONTH, month_start(F.col(MONTH)))
 
 
 def write_cases(cases: DataFrame, path: str, mode: str = "errorifexists") -> None:

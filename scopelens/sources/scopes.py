@@ -50,6 +50,35 @@ class ScopeRegistry:
         self._nodes[scope_id] = (parent, condition)
         return self
 
+    @classmethod
+    def from_table(cls, rows: DataFrame, dimensions: Sequence[str] = (), most: int = 10_000) -> ScopeRegistry:
+        """Scopes from rows of ``scope_id``, ``parent_id`` and ``condition``, in any order.
+
+        A registry is kept by the driver, so more than ``most`` rows are an error. So are repeated or
+        NULL ids, unknown parents, and scopes that narrow each other in a circle.
+        """
+        found = rows.select("scope_id", "parent_id", "condition").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} scopes")
+        registry = cls(dimensions)
+        for scope_id, parent, condition in found:
+            if scope_id is None or scope_id in registry._nodes:
+                raise ValueError(f"scope {scope_id} is already defined" if scope_id is not None else "a scope without an id")
+            registry._nodes[scope_id] = (parent, condition)
+        sound: set[int] = set()
+        for scope_id in registry._nodes:
+            path: list[int] = []
+            at: int | None = scope_id
+            while at is not None and at not in sound:
+                if at not in registry._nodes:
+                    raise KeyError(f"scope {path[-1]}: unknown parent {at}")
+                if at in path:
+                    raise ValueError(f"scopes {path[path.index(at):]} narrow each other in a circle")
+                path.append(at)
+                at = registry._nodes[at][0]
+            sound.update(path)
+        return registry
+
     def ids(self) -> list[int]:
         return sorted(self._nodes)
 

@@ -93,9 +93,9 @@ def test_month_start_and_parse(spark):
     assert tuples(found) == [(date(2024, 2, 1),) * 3 + (None,)]
 
 
-@pytest.mark.parametrize("month, expected", [("2024-02", 29), ("2023-12", 31), ("2023-02", 28), ("2024-04", 30)])
-def test_last_day(month, expected):
-    assert months.last_day(first_of_month(month)).day == expected
+@pytest.mark.parametrize("month, expected", [("2024-02", "2024-03"), ("2023-12", "2024-01"), ("2023-11", "2023-12")])
+def test_following(month, expected):
+    assert months.following(first_of_month(month)) == first_of_month(expected)
 
 
 def test_periods():

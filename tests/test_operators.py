@@ -33,6 +33,15 @@ def test_month_filter_on_the_event_date(spark):
     assert filters.in_month(cases, "2024-02").count() == 2
 
 
+def test_the_last_day_counts_to_its_end(spark):
+    rows = spark.sql(
+        "SELECT date'2024-03-01' AS month, m AS event_date FROM VALUES (timestamp'2024-03-31 15:00:00'), "
+        "(timestamp'2024-03-01 00:00:00'), (NULL) AS t(m)"
+    )
+    assert filters.in_month(rows, "2024-03").count() == 3
+    assert filters.in_month(rows, "2024-02").count() == 0
+
+
 def test_drop_group_keeps_null(make_counts):
     counts = make_counts(("a", 2), ("Social", 3), (None, 1))
     assert sorted(tuples(filters.drop_group(counts, "label", "SOCIAL")), key=str) == [("a", 2), (None, 1)]
@@ -158,13 +167,29 @@ def test_pivot(spark):
 def test_pivot_columns_are_ordered_and_bounded(spark, make_counts):
     found = make_counts(("b", 1), ("a", 1), ("z", 1), (None, 1), ("c", 1))
     assert pivot.column_labels(found, "label", "b") == ["a", "c", "z", "b"]
-    before = spark.conf.get("spark.sql.pivotMaxValues")
-    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    with pytest.raises(ValueError):
+        pivot.column_labels(found, "label", "b", most=3)
+
+
+def test_pivot_of_any_names(spark):
+    counts = spark.createDataFrame([("x", "a.b", 1), ("x", "a`b", 2), ("y", "S", 3)], "s string, b string, total long")
+    wide = pivot.pivot_counts(counts, "s", "b", ["a.b", "a`b", "S", "none.such"])
+    assert wide.columns == ["s_", "a.b", "a`b", "S", "none.such"]
+    assert tuples(rank.sort_by_position(wide, 2, "s_")) == [("x", 1, 2, 0, 0), ("y", 0, 0, 3, 0)]
+
+
+def test_remainder_is_not_in(spark, make_counts):
+    counts = make_counts(("a", 1), ("b", 2), (None, 3))
+    assert tuples(joins.remainder_of(counts, make_counts(("a", 1)), "label")) == [("b", 2)]
+    assert tuples(joins.remainder_of(counts, make_counts(("a", 1), (None, 1)), "label")) == []
+    assert sorted(tuples(joins.remainder_of(counts, make_counts(("a", 1)).limit(0), "label"))) == [("a", 1), ("b", 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        with pytest.raises(ValueError):
-            pivot.column_labels(found, "label", "b")
+        plan = joins.remainder_of(counts, make_counts(("a", 1)), "label")._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.pivotMaxValues", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
 
 
 def test_label_list(make_counts):

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from harness.oracle import ORACLE
+from harness.queries import QUERIES
 
 TABLES = ("lineitem", "orders", "part")
-QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,11 @@ def test_all_have_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= registered.queries().items()
+    assert ORACLE.items() <= registered.oracle_sql().items()
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() == 11
 

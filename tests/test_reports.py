@@ -241,13 +241,6 @@ def test_shared_counts_equal_direct(make_cases, channel_range, sheets):
         assert sorted(tuples(shared), key=str) == sorted(direct, key=str)
 
 
-def test_large_counts_stay_distributed(make_cases, monkeypatch):
-    cases = sample(make_cases)
-    small = tuples(pack.report_pack(cases, REGISTRY, PARAMS))
-    monkeypatch.setattr(sc, "SMALL", 3)
-    assert sorted(tuples(pack.report_pack(cases, REGISTRY, PARAMS)), key=str) == sorted(small, key=str)
-
-
 def test_one_sheet_alone(make_cases):
     cases = sample(make_cases)
     for sheet in ("channel_evolution", "subcat2_last", "category_brand"):
@@ -352,7 +345,7 @@ def test_one_pass_scans_once(spark, make_cases, tmp_path, channel_range, scans):
     sample(make_cases).write.parquet(str(tmp_path / "c"))
     cases = spark.read.parquet(str(tmp_path / "c"))
     params = ReportParams(1, 2, 3, "2024-01", "2024-03", *channel_range)
-    plan = plan_of(sc.pack_counts(cases, REGISTRY, params, KEY_SETS, brands=False))
+    plan = plan_of(sc.pack_counts(cases, REGISTRY, params, KEY_SETS, brands=False, counting=sc.ONE_PASS))
     assert plan.count("FileScan") == plan.count("Exchange") == scans
     assert "GreaterThanOrEqual(month,2024-01-01), LessThanOrEqual(month,2024-03-01)" in plan
 

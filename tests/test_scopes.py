@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopelens.model import Period
+from scopelens.operators.filters import in_month
 from scopelens.plans.counts import scope_counts
+from scopelens.plans.reports import complaint_pareto
 from scopelens.sources import scopes as s
 from scopelens.sources.cases import FileSource, JdbcSource, TableSource, read_cases, write_cases
+from scopelens.vocabulary import Taxonomy
 from tests.conftest import tuples
 
 
@@ -82,7 +85,7 @@ def test_stored_cases_are_pruned_by_month(spark, make_cases, tmp_path):
     assert sorted(tuples(back.select(*cases.columns)), key=str) == sorted(tuples(cases), key=str)
     plan = back.where(F.col("month").between(F.lit(date(2024, 2, 1)), F.lit(date(2024, 2, 1))))
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in text
+    assert "PartitionFilters: [(trunc(month" in text or "PartitionFilters: [isnotnull(trunc(month" in text, text
 
 
 def test_columns_are_renamed_and_months_cut(spark):
@@ -116,3 +119,34 @@ def test_jdbc_reads_in_parallel():
         "fetchsize": "10000",
         "user": "u",
     }
+
+
+def test_scopes_from_rows(spark):
+    kind = "scope_id int, parent_id int, condition string"
+    known = s.ScopeRegistry.from_table(spark.createDataFrame([(3, 2, "b = 1"), (2, 1, "a = 1"), (1, None, None)], kind))
+    assert known.scope(3).conditions == ("a = 1", "b = 1")
+    with pytest.raises(KeyError, match="unknown parent 9"):
+        s.ScopeRegistry.from_table(spark.createDataFrame([(1, 9, None)], kind))
+    with pytest.raises(ValueError, match="circle"):
+        s.ScopeRegistry.from_table(spark.createDataFrame([(1, 2, None), (2, 1, None)], kind))
+    with pytest.raises(ValueError, match="already defined"):
+        s.ScopeRegistry.from_table(spark.createDataFrame([(1, None, None), (1, None, "x = 1")], kind))
+    with pytest.raises(ValueError, match="more than 1"):
+        s.ScopeRegistry.from_table(spark.createDataFrame([(1, None, None), (2, None, None)], kind), most=1)
+
+
+def test_stored_cases_with_a_day_are_pruned_too(spark, make_cases, tmp_path):
+    cases = make_cases({"month": "2024-01", "reason": "a"}, {"month": "2024-02", "reason": "b"})
+    path = str(tmp_path / "cases")
+    write_cases(cases.withColumn("event_date", F.expr("timestamp(month) + interval 20 days")), path)
+    back = read_cases(spark, FileSource(path))
+    found = complaint_pareto(back, registry().scope(1), month="2024-02", taxonomy=Taxonomy(complaint="x"))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in text and "trunc(month" in text.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert in_month(back, "2024-02").count() == 1
+
+
+def test_moments_are_checked(spark, make_cases):
+    make_cases({}).withColumn("event_date", F.lit("soon")).createOrReplaceTempView("odd_moments")
+    with pytest.raises(ValueError, match="event_date"):
+        read_cases(spark, TableSource("odd_moments"))
