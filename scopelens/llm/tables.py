@@ -1,47 +1,17 @@
-"""Reading tables, and tables written once in the shared folder."""
+"""Reading tables, and folds of ids."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopelens.session import shared_folder, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, deleted when the driver ends.
+__all__ = ["crc_fold", "shared_folder", "stored", "table"]
 
-    Only with a local master may the setting be missing: then a temporary folder serves.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="scopelens-")
-    folder = f"{named}/llm-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, folder)
-    return folder
 
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session may be gone when the driver ends
-        return
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_fold(column: str, folds: int) -> Column:
