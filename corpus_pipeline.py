@@ -52,8 +52,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian 32-bit) of each document, their count, and the text they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    found = docs.select("doc_id", "lang", "source", word_bpe.encoded(vocabulary).alias("ids"))
-    return found.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("decoded", word_bpe.decoded(vocabulary))
+    found = docs.select("doc_id", "lang", "source", word_bpe.coded(vocabulary).alias("coded"))
+    return found.select("doc_id", "lang", "source", "coded.*").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

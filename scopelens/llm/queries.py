@@ -63,8 +63,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    ids = table(spark, sf_dir, "documents").select("doc_id", word_bpe.encoded(vocabulary).alias("ids"))
-    out = ids.withColumn("decoded", word_bpe.decoded(vocabulary))
+    coded = table(spark, sf_dir, "documents").select("doc_id", word_bpe.coded(vocabulary).alias("coded"))
+    out = coded.select("doc_id", "coded.*")
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

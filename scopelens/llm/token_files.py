@@ -20,9 +20,11 @@ columns are ignored; special tokens in a text become their ids, as the library d
 from __future__ import annotations
 
 import base64
+import gc
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +42,7 @@ from scopelens.llm.tables import stored
 
 MAGIC = b"BITP1\0\0\0"
 #: Ids of a block, compression level, words a worker remembers, and characters of text looked at together.
-BLOCK, LEVEL, REMEMBERED, BLOCK_CHARS = 1 << 16, 3, 400_000, 1 << 20
+BLOCK, LEVEL, REMEMBERED, BLOCK_CHARS = 1 << 16, 3, 300_000, 1 << 20
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -157,6 +159,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         try:
@@ -169,11 +172,14 @@ class ByteBpe:
         last = end.to_bytes(4, "little")
         split: list[list[str] | None] = [None if any(x in text for x in self.special) else self._words(text) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         known = self.known
-        new = list({word for words in split if words for word in words if word not in known})
+        unseen = {word for words in split if words for word in words if word not in known}
+        for word in unseen & self.before.keys():
+            known[word] = self.before[word]
+        new = list(unseen - self.before.keys())
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+            known[word] = array("I", found.ids).tobytes()
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
@@ -199,6 +205,7 @@ def _written(folder: str, vocabulary: str, end: int):
         system.create_dir(place, recursive=True)
         final, trial = f"{place}/part-{part:06d}.bitp", f"{place}/.part-{part:06d}-{uuid.uuid4().hex}"
         bpe = _loaded(vocabulary)
+        gc.freeze()  # what a worker remembers has no cycles to look for
         with system.open_output_stream(trial) as stream:
             writer = Writer(stream)
             for batch in batches:

@@ -6,6 +6,10 @@ node gets the last token of the encoding of its prefix, so prefixes that words s
 the last token at length i is the one token t that ends there for which the token before it and t
 stay apart when merged on their own. A word's tokens are read back from its last one.
 
+Merges are applied by rank, and a merge ranks after those that make its parts. So two tokens stay apart
+unless a part at the end of the left one and a part at the start of the right one are a pair whose
+rank comes before both parts are merged further (at equal rank the left merge comes first).
+
 Defined cases: null texts are empty and have no tokens; special tokens in a text become their ids;
 other columns are kept, one named as an output is replaced. Ids are stored as little-endian unsigned
 32-bit integers.
@@ -13,7 +17,9 @@ other columns are kept, one named as an output is replaced. Ids are stored as li
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -23,9 +29,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words whose tokens a worker remembers, and characters of text looked at together.
-REMEMBERED, BLOCK_CHARS = 500_000, 1 << 20
+REMEMBERED, BLOCK_CHARS = 300_000, 1 << 20
 _END = ""
 
+#: The split of words that such files use, and the same spelled for Latin-1 characters, which Python's re matches faster.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+")
+
 
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself, or one from U+0100 on."""
@@ -47,6 +57,7 @@ class WordBpe:
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
+        self.latin = _LATIN if split == _SPLIT else None
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # inner and final tokens by their symbols; the longest number of symbols of each
         self.inner = {name: number for name, number in self.vocabulary.items() if not name.endswith(self.suffix)}
@@ -55,8 +66,12 @@ class WordBpe:
         self.longest = (max(map(len, self.inner), default=0), max(map(len, self.final), default=0))
         symbols = _byte_symbols()
         self.bytes_to_symbols = {b: symbols[b] for b in range(256)}
+        self.parts = {a + b: (a, b, rank) for (a, b), rank in self.ranks.items()}
+        self.ordered = all(self.parts[x][2] < rank for pair, rank in self.ranks.items() for x in pair if x in self.parts)
+        self.sound: dict[str, bool] = {}
         self.apart: dict[tuple[str, str, bool], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """Plain merging by rank."""
@@ -79,13 +94,36 @@ class WordBpe:
             symbols = out
         return symbols
 
+    def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The token and its parts at one side, each with the rank at which it is merged further."""
+        out: list[tuple[str, float]] = [(token, float("inf"))]
+        while token in self.parts:
+            *pair, rank = self.parts[token]
+            token = pair[side]
+            out.append((token, rank))
+        return out
+
     def _stay_apart(self, left: str, right: str, final: bool) -> bool:
         """Whether merging the symbols of both tokens gives these two; without ``left``, the one."""
         if len(self.apart) > REMEMBERED:
             self.apart.clear()
         end = self.suffix if final else ""
-        found = self._merged([*left, *right[:-1], right[-1] + end])
-        apart = self.apart[left, right, final] = found == ([left] if left else []) + [right + end]
+        symbols, whole = [*right[:-1], right[-1] + end], right + end
+        if whole not in self.sound:
+            self.sound[whole] = self._merged(symbols) == [whole]
+        if not left or not self.sound[whole]:
+            apart = self.sound[whole]
+        elif self.ordered:
+            starts = self._edge(whole, 0)
+            apart = not any(
+                rank < until_x and rank <= until_y
+                for x, until_x in self._edge(left, 1)
+                for y, until_y in starts
+                if (rank := self.ranks.get((x, y))) is not None
+            )
+        else:
+            apart = self._merged([*left, *symbols]) == [left, whole]
+        self.apart[left, right, final] = apart
         return apart
 
     def _last_token(self, prefix: str, lasts: list[str], final: bool) -> str:
@@ -143,14 +181,28 @@ class WordBpe:
 
     def _plain(self, text: str) -> list:
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
-        return self.words.findall(lowered)
+        if self.latin is None:
+            return self.words.findall(lowered)
+        try:
+            lowered.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(lowered)
+        return self.latin.findall(lowered)
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         split = [self._split(text) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         new = {word for words in split for word in words if word not in self.known and isinstance(word, str)}
-        self.encode_words(new)
+        if self.before:
+            for word in new & self.before.keys():
+                self.known[word] = self.before[word]
+            new -= self.known.keys()
+        gc.disable()  # a trie has no cycles, and looking for some in it takes as long as the walk
+        try:
+            self.encode_words(new)
+        finally:
+            gc.enable()
         known = self.known
         return [b"".join([known[word] if isinstance(word, str) else word for word in words]) for words in split]
 
@@ -196,3 +248,15 @@ def decoded(vocabulary: str, ids: str = "ids") -> Column:
         return _loaded(vocabulary).decode(values)
 
     return decode(F.col(ids))
+
+
+def coded(vocabulary: str, text: str = "text") -> Column:
+    """Both at once: a struct of the ``ids`` of a text and the text they are ``decoded`` to."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def code(texts: pa.Array) -> pa.Array:
+        bpe = _loaded(vocabulary)
+        ids = bpe.encode(texts)
+        return pa.StructArray.from_arrays([ids, bpe.decode(ids)], ["ids", "decoded"])
+
+    return code(F.col(text))
