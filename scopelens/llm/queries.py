@@ -91,4 +91,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLE: dict[str, str] = {}
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(nodes: str, links: str) -> str:
+    """Tables ``links`` (a, b, both ways) and ``component`` (id, component_id) for WITH RECURSIVE."""
+    return f"""
+links AS ({links}),
+reach AS (SELECT id, id AS other FROM ({nodes}) UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)"""
+
+
+USABLE = (
+    "label IS NOT NULL AND list_bool_or(list_transform(v, lambda x: x <> 0)) "
+    "AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x)))"
+)
+NEAR_VECTORS = """
+SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.98"""
+NEAR_SETS = """
+SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)"""
+TEST_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE: dict[str, str] = {
+    "op2_near_vectors": f"""
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (SELECT * FROM vectors WHERE {USABLE}),
+{_components("SELECT vec_id AS id FROM vectors", NEAR_VECTORS)}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN component ON id = vec_id""",
+    "op6_decontaminate": f"""
+WITH item AS (SELECT item_id, regexp_extract_all({LOWER}, {TEST_WORDS}) AS w FROM benchmark WHERE text IS NOT NULL),
+test AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS words
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), {TEST_WORDS}) AS w FROM documents),
+place AS (
+    SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS words
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+          FROM doc, (SELECT DISTINCT size FROM test) WHERE len(w) >= size)),
+hit AS (SELECT doc_id, i, place.size AS size, item_id FROM place JOIN test USING (size, words)),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY 1),
+found AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items
+    FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+SELECT doc.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op8_near_duplicates": rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+    SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM doc)
+    UNION ALL SELECT doc_id, w[1] FROM doc WHERE len(w) = 1),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+{_components("SELECT doc_id AS id FROM documents", NEAR_SETS)}
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
+FROM doc JOIN component ON id = doc.doc_id LEFT JOIN size USING (doc_id)""",
+}
