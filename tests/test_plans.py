@@ -62,3 +62,22 @@ def test_no_row_is_sorted_before_counting(spark, data_dir):
     """A text in an aggregation buffer would make Spark sort every case."""
     for name in ("r_complaint_pareto", "r_top_line_variant", "multi_scope_top", "r_type_breakdown"):
         assert "SortAggregate" not in QUERIES[name](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def compiled(spark):
+    """Whole-stage code generation as in production, which the other tests go without."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+@pytest.mark.parametrize("name", ["r_type_breakdown", "r_complaint_pareto", "r_other_pareto", "r_category_brand"])
+def test_each_table_is_read_once(spark, data_dir, compiled, name):
+    """The remainder, shares and totals reuse the exchange of the counts."""
+    df = QUERIES[name](spark, data_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and "WholeStageCodegen" in final or "*(" in final
+    for table in TABLES:
+        assert len(re.findall(rf"Location: [^\n]*?{table}\.parquet", final)) <= 1
