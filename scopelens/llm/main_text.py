@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block elements. Containers that name their purpose (navigation, forms,
 adverts, comments and so on, by element, role, class or id) drop their blocks. The first pass
-decides the others by length, link density and stop-word density; blocks inside an article or main
-element need no stop words. Blocks too short to decide take the label of the nearest decided block in
+decides the others by length, link density and stop-word density: many links are bad, many stop words good;
+blocks inside an article or main element need no stop words. Blocks too short, or with too few stop
+words, to decide take the label of the nearest decided block in
 the second pass; between two at equal distance the good one wins. Where no block is decided, those in
 an article or main element are good, or all if there is no such element.
 
@@ -174,7 +175,7 @@ def _labels(blocks: list[tuple[_Block, str]]) -> list[bool]:
             if stops >= MANY_STOPS or (stops >= LEAST_STOPS and len(text) >= LONG):
                 first.append(True)
             else:
-                first.append(None if stops >= LEAST_STOPS else False)
+                first.append(None)
     # blocks of dropped containers say nothing about their neighbours
     telling = [label if not block.dropped else None for label, (block, _) in zip(first, blocks, strict=True)]
     before, after = _nearest(telling), _nearest(telling[::-1])[::-1]
