@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from scopelens.llm.tables import stored
 
 WORDS, GRAMS, SIZES = 200_000, 200_000, (5, 4, 3, 2, 1)
 #: Entries a task counts before it hands them on, and words a worker remembers.
-COUNTED, REMEMBERED = 400_000, 300_000
+COUNTED, REMEMBERED = 200_000, 200_000
 UNKNOWN = "und"
 RESULT = "struct<lang_pred: string, score: double>"
 
@@ -54,37 +55,40 @@ def grams_of(word: str, size: int) -> list[str]:
     return [marked[k : k + size] for k in range(len(marked) - size + 1)]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (size 0) and n-grams by language with their counts, and the totals of each size n as size -1 - n."""
-    words: Counter = Counter()
+def _handed_on(counts: Counter) -> Iterator[pa.RecordBatch]:
+    entries = iter(counts.items())
+    while part := list(islice(entries, 20_000)):
+        lang, size, entry = zip(*(key for key, _ in part), strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(entry, pa.string()), pa.array([count for _, count in part], pa.int64())],
+            ["lang", "size", "entry", "count"],
+        )
+    counts.clear()
 
-    def handed_on() -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
-        for (lang, word), count in words.items():
-            for size in SIZES:
-                for gram in grams_of(word, size):
-                    grams[lang, size, gram] += count
-        rows = [(lang, 0, word, count) for (lang, word), count in words.items()]
-        rows += [(*key, count) for key, count in grams.items()]
-        totals: Counter = Counter()
-        for lang, size, _, count in rows:
-            totals[lang, size] += count
-        rows += [(lang, -1 - size, "", count) for (lang, size), count in totals.items()]
-        words.clear()
-        for start in range(0, len(rows), 20_000):
-            lang, size, entry, count = zip(*rows[start : start + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(entry, pa.string()), pa.array(count, pa.int64())],
-                ["lang", "size", "entry", "count"],
-            )
 
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (size 0) of texts by language."""
+    counts: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for word, count in Counter(words_of(text)).items():
-                words[lang, word] += count
-            if len(words) >= COUNTED:
-                yield from handed_on()
-    yield from handed_on()
+                counts[lang, 0, word] += count
+            if len(counts) >= COUNTED:
+                yield from _handed_on(counts)
+    yield from _handed_on(counts)
+
+
+def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of counted words by language and size."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for lang, word, count in zip(*(batch.column(name).to_pylist() for name in ("lang", "entry", "count")), strict=True):
+            for size in SIZES:
+                for gram in grams_of(word, size):
+                    counts[lang, size, gram] += count
+        if len(counts) >= COUNTED:
+            yield from _handed_on(counts)
+    yield from _handed_on(counts)
 
 
 @dataclass
@@ -130,18 +134,23 @@ class Model:
 def fit(texts: DataFrame, *, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> Model:
     """Learns from all rows with a language; select the training rows before."""
     known = texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = known.mapInArrow(_counted, "lang string, size int, entry string, count long").groupBy("lang", "size", "entry").agg(F.sum("count").alias("count"))
-    counts = stored(counted.where("count > 1 or size < 0"))  # what occurred once tells less than its n-grams
-    totals = {(row["lang"], -1 - row["size"]): row["count"] for row in counts.where("size < 0").collect()}
+    entries, each = "lang string, size int, entry string, count long", ["lang", "size", "entry"]
+    # words are counted over all texts, n-grams over the words, which are far fewer
+    counted = stored(known.mapInArrow(_counted_words, entries).groupBy(*each).agg(F.sum("count").alias("count")))
+    grams_counted = stored(counted.mapInArrow(_counted_grams, entries).groupBy(*each).agg(F.sum("count").alias("count")))
+    counts = counted.union(grams_counted)
+    total = counts.groupBy("lang", "size").agg(F.sum("count").alias("total"))
+    totals = {(row["lang"], row["size"]): row["total"] for row in total.collect()}
     languages = sorted({name for name, _ in totals})
     if not languages:
         return Model([], {}, np.zeros((0, 0), np.float32))
-    total = counts.where("size < 0").select("lang", (-1 - F.col("size")).alias("size"), F.greatest("count", F.lit(1)).alias("total"))
-    best = counts.where("size >= 0").join(F.broadcast(total), ["lang", "size"]).withColumn("share", F.col("count") / F.col("total"))
+    # one row for each language and size; what occurred once tells less than its n-grams
+    best = counts.where("count > 1").join(F.broadcast(total), ["lang", "size"]).withColumn("share", F.col("count") / F.col("total"))
     order = [F.desc("share"), "size", "lang", "entry"]
     tables = [best.where("size = 0").orderBy(*order).limit(words), best.where("size > 0").orderBy(*order).limit(grams)]
     number = {name: k for k, name in enumerate(languages)}
-    found = [row for part in tables for row in zip(*(part.select("lang", "size", "entry", "count").toArrow().column(k).to_pylist() for k in range(4)), strict=True)]
+    collected = [part.select("lang", "size", "entry", "count").toArrow() for part in tables]
+    found = [row for part in collected for row in zip(*(column.to_pylist() for column in part.columns), strict=True)]
     rows: dict[tuple[int, str], int] = {}
     for _, size, entry, _ in found:
         rows.setdefault((size, entry), len(rows))
