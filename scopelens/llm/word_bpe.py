@@ -29,7 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words whose tokens a worker remembers, and characters of text looked at together.
-REMEMBERED, BLOCK_CHARS = 300_000, 1 << 20
+REMEMBERED, BLOCK_CHARS = 250_000, 1 << 20
 _END = ""
 
 #: The split of words that such files use, and the same spelled for Latin-1 characters, which Python's re matches faster.
