@@ -11,14 +11,16 @@ pieces that can be sorted apart and lose no match:
    equal distance, so stretches are dealt out by anchor. Stretches with equal bytes are all repeats but
    the first; a task settles those within a block of texts before anything is shuffled.
 2. First stretches of equal anchor that also agree on the middle part which all strings in a quarter of
-   the anchor's range share are cut to the pieces of that quarter. The middle, some 80 bytes that
-   all pieces of a key have in common, is written as the key's number in ``DIGITS`` bytes, which leaves
-   some 40 bytes.
+   the anchor's range share are cut to the pieces of that quarter; 15 bits of the middle's hash sort
+   out most that do not agree. A piece's key is then made from the whole hash of the middle, some 80
+   bytes, so that all pieces of a key have it in common. It is written as the key's number in
+   ``DIGITS`` bytes, which leaves some 40 bytes.
 3. The pieces dealt to a task form a collection whose Burrows-Wheeler transform and common prefixes are
    built column by column in sequential files (``column_bwt``). Suffixes that share ``length`` bytes
    with their predecessor are one string; all its occurrences but the first are repeats.
 
-Anchor and bytes of a stretch are compared by 64-bit hashes each.
+Anchor and bytes of a stretch, and the middle of a piece, are compared by 64-bit hashes each; the
+bytes of a piece around its middle are compared themselves.
 
 Defined cases: null texts are empty; rows with a null id are left out; repeated rows (equal id and
 text) are one document and get equal results; rows of equal id and different texts are ordered by a
@@ -203,25 +205,31 @@ def _settle(length: int):
 
 
 def _pieces(length: int):
-    """The bytes of each piece before and after its middle, from rows of a text with its pieces."""
+    """The bytes of each piece before and after its middle, from rows of a text with its pieces; the key tells middles apart."""
     middles = [length + low - high for low, high in _ranges(length)]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                hashes = _text_hash(block, Hashes(block.data))
+                bytes_hashes = Hashes(block.data)
+                hashes = _text_hash(block, bytes_hashes)
                 out: list[tuple] = []
+                held: list[tuple[int, int]] = []  # the middles in the block
                 for row in range(len(block)):
                     text = block.text(row)
                     doc = batch.column("id")[block.first + row].as_py()
                     for piece in batch.column("pieces")[block.first + row].as_py():
                         if piece["text_hash"] == hashes[row]:
                             start, middle = piece["start"], piece["start"] + piece["before"]
-                            after = text[middle + middles[piece["quarter"]] : start + piece["count"] - 1 + length]
+                            end = middle + middles[piece["quarter"]]
+                            after = text[end : start + piece["count"] - 1 + length]
+                            held.append((int(block.offsets[row]) + middle, int(block.offsets[row]) + end))
                             out.append((piece["key"], doc, piece["text_hash"], start, piece["quarter"], text[start:middle], after))
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                    key = np.asarray(columns[0]).view(np.uint64) + bytes_hashes.of(*np.array(held).T)
+                    columns[0] = pa.array(mixed(key).view(np.int64))
                     yield pa.RecordBatch.from_arrays(columns, _PIECE)
 
     return pieces

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from scopelens.llm import column_bwt, near_duplicates, near_vectors, repeats
+from scopelens.llm.blocks import Hashes
 from scopelens.llm.components import components
 from tests.llm.conftest import rows_of
 
@@ -139,6 +140,19 @@ def test_repeats(documents, prose, monkeypatch, collection):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute(rows, 100)
 
 
+def test_passages_that_differ_next_to_a_shared_anchor_are_no_repeats(documents, prose):
+    """Half a million pairs that have all but six bytes in common, so that few bits of a hash would not tell them apart."""
+    source = np.random.default_rng(4)
+    anchors = source.integers(97, 123, (200_000, repeats.ANCHOR)).astype(np.uint8)
+    ends = np.arange(1, len(anchors) + 1) * repeats.ANCHOR
+    least = int(Hashes(anchors.ravel()).of(ends - repeats.ANCHOR, ends).argmin())  # the anchor of every string that holds it
+    shared = anchors[least].tobytes().decode()
+    rows = [(k, f"{prose(12, 1)[:40]}{shared}{k:06d}{prose(20, 2)[:60]}") for k in range(1000)]
+    rows += [(1000, rows[7][1]), (1001, f"{prose(9, 3)[:30]}{rows[8][1][10:]}")]
+    found = repeats.digest(repeats.without_repeats(documents(*rows)))
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute(rows, 100)
+
+
 def test_repeats_keep_other_columns_and_repeated_rows(documents, prose):
     text = prose(40, 1)
     found = repeats.without_repeats(documents((1, text), (1, text), (2, text)))
