@@ -6,8 +6,9 @@ frequency in each language. An unseen word is scored by its n-grams of the great
 is known. The language with the highest sum is predicted; the score is its share among all languages
 when sums are compared as probabilities.
 
-The model is bounded: at most ``WORDS`` words and ``GRAMS`` n-grams, those of the highest shares of their
-language.
+The model is bounded: at most ``WORDS`` words and ``GRAMS`` n-grams, those of the highest shares in a
+language; each has its counts in all languages. Words and n-grams beyond it, and those that occurred
+once in each language, score as unseen.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is every text if
 nothing was learned; rows with a null language are not learned from; equal sums go to the language
@@ -220,6 +221,8 @@ def fit(texts: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     number = {name: k for k, name in enumerate(languages)}
     tables_of: dict[int, dict[str, np.ndarray]] = {}
     for part in tables:
+        # what is chosen for one language has its counts in the others too, however small
+        part = counts.join(part.select("size", "entry").distinct(), ["size", "entry"], "left_semi")
         for name, size, entry, count in zip(*(column.to_pylist() for column in part.select("lang", "size", "entry", "count").toArrow().columns), strict=True):
             tables_of.setdefault(size, {}).setdefault(entry, np.zeros(len(languages)))[number[name]] = count
     scored: dict[int, tuple[list[str], np.ndarray]] = {}

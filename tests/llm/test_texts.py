@@ -215,6 +215,16 @@ def test_language(spark, documents):
     assert all(got[k][0] == lang for k, lang, _ in rows) and all(0 <= score <= 1 for _, score in got.values())
 
 
+def test_language_of_words_kept_for_one_language_counts_in_all(spark):
+    """A word beyond the cutoff in the large language, or met once there, keeps its count of it."""
+    texts = [("aa", "common " * 1000 + "rare rare rare once"), ("bb", "rare rare once once")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    model = language.fit(df, words=3)
+    for word, counted in (("rare", (3, 2)), ("once", (1, 2))):
+        expected = [np.log((count + 0.5) / (total + 1)) for count, total in zip(counted, (1004, 4))]
+        assert model.word_scores[model.words[word]].tolist() == pytest.approx(expected, rel=1e-5)
+
+
 SENTENCE = "The quick fox is in the house and it was a good day for all of us, as they say in the old books of the town."
 
 
