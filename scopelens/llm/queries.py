@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, token_files, toxicity, word_bpe
+from scopelens.llm import centroids, conversations, decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, token_files, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, shared_folder, table
 
 
@@ -78,6 +78,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_vectors": op2_near_vectors,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_word_bpe": op9_word_bpe,
     "op10_main_text": op10_main_text,
+    "op11_centroids": op11_centroids,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,6 +122,29 @@ ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_c
 NEAR_SETS = """
 SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
 WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)"""
+
+
+def _rounds(count: int) -> str:
+    """Rounds of assignment and floored means, from ``c0`` (cluster, c) and ``kept`` (n, vec_id, v)."""
+    out = ""
+    for k in range(count + 1):
+        out += f"""
+a{k} AS (
+    SELECT n, min(struct_pack(distance := list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, cluster := cluster)) AS best
+    FROM kept, c{k} GROUP BY n),"""
+        if k < count:
+            out += f"""
+m{k} AS (
+    SELECT cluster, list(CAST(floor(total::DECIMAL(30, 6) / members) AS BIGINT) ORDER BY d) AS c
+    FROM (SELECT best.cluster AS cluster, d, sum(v[d]) AS total, count(*) AS members FROM kept JOIN a{k} USING (n), range(1, 65) AS dims(d) GROUP BY 1, 2)
+    GROUP BY 1),
+c{k + 1} AS (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster)),"""
+    return out
+
+
+#: crc32 of a column's decimal text.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: unicode(x)::UBIGINT)),
+lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)::UBIGINT[]), lambda k, i: xor(k >> 1, CASE WHEN k & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))"""
 TEST_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE: dict[str, str] = {
@@ -150,4 +183,38 @@ shared AS (
 {_components("SELECT doc_id AS id FROM documents", NEAR_SETS)}
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
 FROM doc JOIN component ON id = doc.doc_id LEFT JOIN size USING (doc_id)""",
+    "op11_centroids": f"""
+WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+kept AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS n, vec_id, v
+    FROM (SELECT vec_id, list_transform(x, lambda y: CAST(floor(64 * y) AS BIGINT)) AS v FROM vectors
+          WHERE NOT list_bool_or(list_transform(x, lambda y: y IS NULL OR NOT isfinite(y))))),
+c0 AS (SELECT CAST(n AS INT) AS cluster, v AS c FROM kept WHERE n < 16),{_rounds(3)}
+found AS (SELECT vec_id, best.cluster AS cluster, best.distance AS distance FROM a3 JOIN kept USING (n))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM found JOIN c3 USING (cluster)""",
+    "op12_conversation_trie": f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, list(struct_pack(role, text) ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS turns
+    FROM said GROUP BY conv_id),
+headed AS (SELECT conv_id, conv_id - conv_id % 100 AS base, turns, CAST({CRC} % 6 AS BIGINT) AS h FROM own),
+rebuilt AS (
+    SELECT headed.conv_id, list_concat(coalesce(own.turns[1 : h], []), headed.turns[h + 1 :]) AS s
+    FROM headed LEFT JOIN own ON own.conv_id = headed.base),
+prefix AS (SELECT conv_id, d, s[1 : d] AS p, len(s) AS n FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+node AS (
+    SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+    FROM prefix GROUP BY d, p),
+child AS (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+tree AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, p)),
+below AS (
+    SELECT k AS d, p[1 : k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT p, n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].text) ELSE 0 END AS saved, unnest(range(0, d + 1)) AS k FROM tree)
+    GROUP BY 1, 2)
+SELECT tree.conv_id, tree.d AS depth, up.conv_id AS parent_conv_id, tree.n_convs, tree.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, tree.ends_sha256
+FROM tree JOIN below USING (d, p) LEFT JOIN node AS up ON up.d = tree.d - 1 AND up.p = tree.p[1 : tree.d - 1]""",
 }
