@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelens.llm import centroids, conversations, decontaminate, language, main_text, near_duplicates, near_vectors, quality, repeats, token_files, toxicity, word_bpe
+from scopelens.llm import centroids, conversations, decontaminate, fingerprints, language, main_text, near_duplicates, near_vectors, quality, repeats, token_files, toxicity, word_bpe
 from scopelens.llm.tables import crc_fold, shared_folder, table
 
 
@@ -86,6 +86,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_vectors": op2_near_vectors,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
     "op11_centroids": op11_centroids,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
