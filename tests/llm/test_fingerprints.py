@@ -3,7 +3,6 @@
 import hashlib
 import math
 import random
-import re
 from collections import Counter
 
 import xxhash
@@ -28,9 +27,12 @@ def long(x):
 
 
 def weights(text):
-    words = re.split(r"\s+", text, flags=re.ASCII)
-    runs = list(zip(words, words[1:], strict=False)) or [(words[0],)]
-    return Counter(hashed(*[w.encode() for w in run]) for run in runs)
+    for end in fingerprints.ENDS:
+        text = text.replace(f"{end} ", f"{end}\n")
+    out = Counter()
+    for phrase in text.split("\n"):
+        out[hashed(phrase.encode())] += len(phrase) + 1
+    return out
 
 
 def samples(text):
@@ -38,13 +40,12 @@ def samples(text):
     for sample in range(fingerprints.SAMPLES):
         best = None
         for term, weight in weights(text).items():
-            one = hashed(long(term), (sample, 4))
-            two = hashed(long(one)) % (1 << 64)
-            one %= 1 << 64
-            u = [(x + 0.5) / 2**n for x, n in ((one >> 32, 32), (one & 0xFFFFFFFF, 32), (two & 0x1FFFFF, 21), (two >> 21 & 0x1FFFFF, 21), (two >> 42, 22))]
+            bits = hashed(long(term), (sample, 4)) % (1 << 64)
+            u = [((bits >> shift) % (1 << width) + 0.5) / 2**width for shift, width in ((19, 9), (10, 9), (46, 18), (28, 18), (0, 10))]
             r, log_c, b = -math.log(u[0] * u[1]), math.log(-math.log(u[2] * u[3])), u[4]
             t = math.floor(math.log(weight) / r + b)
-            found = (log_c - r * (t - b) - r, hashed(long(term), long(t)) & 0xFFFF)
+            folded = bits ^ bits >> 32
+            found = (log_c - r * (t - b + 1), (folded ^ folded >> 16 ^ t) & 0xFFFF)
             best = found if best is None else min(best, found)
         out.append(best[1])
     return out
@@ -120,10 +121,11 @@ def test_collision_rate_is_generalised_jaccard_similarity(documents):
     errors = []
     rows, pairs = [], []
     for k in range(0, 120, 2):
-        words = [source.choice("abcdefg") for _ in range(60)]
-        other = [w if source.random() < k / 120 else source.choice("abcdefg") for w in words]
-        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
-        pairs.append((k + 1, jaccard(" ".join(words), " ".join(other))))
+        # words of one pair only, so that the errors of pairs are independent
+        words = [f"{k}" + "x" * source.randrange(9) + source.choice("abcdefg") for _ in range(60)]
+        other = [w if source.random() < k / 120 else f"{k}{source.choice('abcdefg')}" for w in words]
+        rows += [(k, "\n".join(words)), (k + 1, "\n".join(other))]
+        pairs.append((k + 1, jaccard("\n".join(words), "\n".join(other))))
     near = {row["doc_id"]: row["near_next"] for row in fingerprints.fingerprints(documents(*rows)).collect()}
     for doc, exact in pairs:
         errors.append(near[doc] - exact)
