@@ -1,6 +1,8 @@
 """Times the headline queries; prints one JSON line.
 
-BENCH_SF_DIR and BENCH_CPUS choose data and cores, BENCH_RUNS the timed runs after one warm-up.
+BENCH_SF_DIR and BENCH_CPUS choose data and cores, BENCH_RUNS the timed runs after one warm-up. The
+calibration is a fixed aggregation of made-up numbers, timed before and after the others: machines differ
+and change, so times of different runs compare as ratios to it.
 """
 
 from __future__ import annotations
@@ -13,15 +15,17 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from harness import bindings  # noqa: E402
+from harness import bindings, queries  # noqa: E402
 from harness.queries import QUERIES  # noqa: E402
-from scopelens.plans import reports  # noqa: E402
+from scopelens.plans import monthly, reports  # noqa: E402
 
-HEADLINE = [name for name in QUERIES if name.startswith("r_")]
+#: Queries that keep counts first and report from them; here the counts are kept once, and only reports are timed.
+FROM_KEPT = ("r_pack_from_months", "r_category_brand_kept")
+HEADLINE = [name for name in QUERIES if name.startswith("r_") and name not in FROM_KEPT]
 SCOPE_COUNTS = (1, 10, 100)
 
 
@@ -32,6 +36,24 @@ def multi_scope(count: int) -> Callable[[SparkSession, str], DataFrame]:
     )
 
 
+def from_kept(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    kept, known = queries.kept_months(spark, sf_dir), bindings.monthly_registry()
+    scope = known.scope(queries.SCOPE)
+    return {
+        "pack_from_kept_months": lambda s, d: monthly.pack_from_months(s, kept, known, bindings.PARAMS, bindings.TAXONOMY),
+        "category_brand_from_kept_brands": lambda s, d: reports.category_by_brand_long(
+            bindings.cases(s, d), scope, bindings.START, bindings.END, taxonomy=bindings.TAXONOMY, brands=kept.brands(s, scope).select("brand")
+        ),
+    }
+
+
+def calibration(spark: SparkSession) -> float:
+    start = time.perf_counter()
+    numbers = spark.range(0, 60_000_000, 1, 8).select(F.xxhash64("id").alias("h"))
+    numbers.groupBy(F.col("h") % 1000).agg(F.sum(F.sqrt(F.abs("h")))).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -50,7 +72,10 @@ def main() -> None:
 
     timed = {name: QUERIES[name] for name in HEADLINE}
     timed |= {f"multi_scope_top_{count}": multi_scope(count) for count in SCOPE_COUNTS}
+    timed |= from_kept(spark, sf_dir)
     seconds = {}
+    calibration(spark)
+    speed = [calibration(spark) for _ in range(3)]
     for name, query in timed.items():
         times = []
         for _ in range(runs + 1):
@@ -58,7 +83,9 @@ def main() -> None:
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
+    speed += [calibration(spark) for _ in range(3)]
     spark.stop()
+    unit = statistics.median(speed)
 
     print(
         json.dumps(
@@ -67,6 +94,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "calibration": round(unit, 3),
+                "ratios": {name: round(value / unit, 2) for name, value in seconds.items()},
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )

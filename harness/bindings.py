@@ -95,3 +95,24 @@ def many_scopes(count: int, declared: bool = True) -> tuple[ScopeRegistry, list[
         condition = f"month >= DATE'{first}-01-01' AND month < DATE'{first + 1 + at // 14}-01-01'"
         scopes.add(20000 + at, condition, parent=(8006, 9006)[at % 2])
     return scopes, scopes.ids()[:count]
+
+
+def monthly_registry() -> ScopeRegistry:
+    """The scopes of ``registry`` by channel and month alone, as counts kept by month need them."""
+    return (
+        ScopeRegistry(("channel", "month"))
+        .add(1000)
+        .add(8006, "channel = 'digital'", parent=1000)
+        .add(9006, "channel = 'traditional'", parent=1000)
+        .add(8106, "month < DATE'1999-01-01'", parent=8006)
+        .add(9106, "month >= DATE'1997-01-01'", parent=9006)
+    )
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope for each part, four below each other one; some narrow themselves, some name an unknown parent."""
+    number = F.col("p_partkey").cast("long")
+    above = F.when(number % 97 == 0, number).when(number % 101 == 0, F.lit(-1)).when(number >= 4, F.floor(number / 4))
+    return table(spark, sf_dir, "part").select(
+        number.alias("scope_id"), above.cast("long").alias("parent_id"), F.concat(F.lit("["), F.upper("p_name"), F.lit("]")).alias("name")
+    )

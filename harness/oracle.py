@@ -258,6 +258,53 @@ def many_scope_totals(how_many: int = 100) -> str:
     )
 
 
+def many_scopes_by_rule(how_many: int) -> str:
+    """The same from the rule of the scopes, for any number of them."""
+    base = " UNION ALL ".join(
+        f"SELECT {scope_id} AS scope_id, count(*) AS total FROM cases WHERE {SCOPES[scope_id]} AND {PERIOD}" for scope_id in (1000, 8006, 9006)
+    )
+    return f"""
+WITH cases AS ({CASES}), counted AS (SELECT channel, year(month) AS y, count(*) AS n FROM cases WHERE {PERIOD} GROUP BY 1, 2),
+scopes AS (
+    SELECT CAST(20000 + k AS INTEGER) AS scope_id, CASE k % 2 WHEN 0 THEN 'digital' ELSE 'traditional' END AS channel,
+           1995 + (k // 2) % 7 AS first, 1996 + (k // 2) % 7 + k // 14 AS ended
+    FROM range({how_many - 3}) AS numbers(k))
+SELECT scope_id, CAST(sum(n) AS BIGINT) AS total FROM scopes JOIN counted USING (channel) WHERE y >= first AND y < ended GROUP BY 1
+UNION ALL {base}"""
+
+
+def pareto_classes(counts: str, label: str, by: str = "") -> str:
+    """All labels of ``counted`` with rank, running share and class."""
+    part = f"PARTITION BY {by}" if by else ""
+    order = f"ORDER BY total DESC, {label} ASC NULLS FIRST"
+    return f"""
+WITH counted AS ({counts}),
+placed AS (
+    SELECT *, row_number() OVER ({part} {order}) AS rank, sum(total) OVER ({part}) AS whole,
+           sum(total) OVER ({part} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+    FROM counted)
+SELECT {by + ',' if by else ''} rank, {label}, total, CAST(running AS DOUBLE) / CAST(whole AS DOUBLE) AS cum_share,
+       CASE WHEN CAST(running - total AS DOUBLE) / CAST(whole AS DOUBLE) < 0.8 THEN 'A'
+            WHEN CAST(running - total AS DOUBLE) / CAST(whole AS DOUBLE) < 0.95 THEN 'B' ELSE 'C' END AS class
+FROM placed"""
+
+
+SCOPE_PATH = f"""
+WITH RECURSIVE scopes AS (
+    SELECT p_partkey AS id, {title('upper(p_name)')} AS name,
+           CASE WHEN p_partkey % 97 = 0 THEN p_partkey WHEN p_partkey % 101 = 0 THEN -1 WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent
+    FROM part),
+way AS (
+    SELECT id, parent AS above, 0 AS depth, [id] AS ids, name AS path, false AS circular FROM scopes
+    UNION ALL
+    SELECT way.id, up.parent, depth + 1, list_prepend(up.id, ids), up.name || ' / ' || path, list_contains(ids, up.id)
+    FROM way JOIN scopes AS up ON up.id = above WHERE NOT circular)
+SELECT id AS scope_id, path, depth, CASE WHEN circular THEN 'circle' WHEN above IS NOT NULL THEN 'orphan' ELSE 'complete' END AS state
+FROM way QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC) = 1"""
+
+PADDED = "case_type || repeat(' ', CAST(month(month) % 3 AS INTEGER))"
+
+
 CATALOGUE = (
     "SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS scope_id, "
     "'[' || upper(p_brand) || '] cases/' || lower(p_brand) AS name FROM part"
@@ -473,4 +520,36 @@ ORACLE: dict[str, str] = {
     "r_top_line_variant_last": ranked(LINE_VARIANT, "line_variant", LAST),
     "r_top_subcat2": ranked(SUBCAT2, "subcat2", PERIOD),
     "r_top_subcat2_last": ranked(SUBCAT2, "subcat2", LAST),
+    "top_n_two_phase": f"""
+        SELECT * FROM (SELECT *, 'frequent' AS part FROM ({top('lower(rtrim(reason))', 'label', 'TRUE')}))
+        UNION ALL
+        SELECT * FROM (SELECT CAST(l_orderkey AS varchar) AS label, count(*) AS total, 'flat' AS part FROM lineitem
+                       GROUP BY 1 ORDER BY total DESC, label LIMIT 10)""",
+    "pareto_all_reasons": pareto_classes(count("reason", "reason", PERIOD), "reason"),
+    "pareto_all_suppliers": pareto_classes(
+        "SELECT CASE WHEN l_linestatus = 'O' THEN 'digital' ELSE 'traditional' END AS channel, l_suppkey AS supplier, count(*) AS total FROM lineitem GROUP BY 1, 2",
+        "supplier",
+        "channel",
+    ),
+    "r_pack_from_months": full_pack(),
+    "brands_maintained": " UNION ALL ".join(
+        f"SELECT {scope_id} AS scope_id, * FROM ({select('brand, min(month) AS first_month, max(month) AS last_month', f'{where} AND brand IS NOT NULL GROUP BY brand')})"
+        for scope_id, where in SCOPES.items()
+    ),
+    "r_category_brand_kept": category_long(PERIOD),
+    "multi_scope_from_months": many_scopes_by_rule(100),
+    "multi_scope_2000": many_scopes_by_rule(2000),
+    "scope_path": SCOPE_PATH,
+    "filter_type_padded": select(RAW.replace("case_type", f"{PADDED} AS case_type"), COMPLAINT),
+    "count_by_padded": f"""
+        SELECT min(case_type) AS case_type, count(*) AS total FROM ({select(f'{PADDED} AS case_type')}) GROUP BY lower(rtrim(case_type))""",
+    "read_cases_text_months": """
+        SELECT CASE WHEN l_linenumber < 6 THEN CAST(date_trunc('month', l_shipdate) AS date) END AS month, count(*) AS total
+        FROM lineitem WHERE l_linenumber <> 6 GROUP BY 1""",
+    "bad_months": """
+        SELECT 'n/a ' || l_returnflag AS bad_month, count(*) AS total FROM lineitem WHERE l_linenumber = 6 GROUP BY 1""",
+    "pivot_as_map": f"""
+        SELECT subcat1, coalesce(string_agg(brand || '=' || n, ',' ORDER BY brand) FILTER (brand IS NOT NULL), '') AS cells
+        FROM ({select('subcat1, brand, count(*) AS n', f'{PERIOD} GROUP BY 1, 2')}) GROUP BY 1""",
+    "report_published": summary_pack(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harness.bindings import (
     CHANNEL_END,
@@ -17,18 +17,21 @@ from harness.bindings import (
     TAXONOMY,
     cases,
     catalogue,
+    hierarchy,
     many_scopes,
+    monthly_registry,
     registry,
     table,
 )
 from scopelens.functions import labels, months
 from scopelens.model import CASE_SCHEMA, TOTAL
-from scopelens.operators import aggregate, filters, joins, pivot, rank, sets
-from scopelens.plans import attributes, pack, reports
+from scopelens.operators import aggregate, filters, heavy, joins, pivot, prefix, rank, sets
+from scopelens.plans import attributes, monthly, pack, reports
 from scopelens.plans.shared_counts import ONE_PASS, PER_KEY_SET
 from scopelens.sources import scopes as scope_source
-from scopelens.sources.cases import TableSource, read_cases
-from scopelens.sources.sinks import manifest
+from scopelens.session import shared_folder, stored
+from scopelens.sources.cases import TableSource, bad_months as months_unread, read_cases
+from scopelens.sources.sinks import manifest, publish_report, read_published
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,11 +134,12 @@ def scopes_from_table(spark, d):
         "SELECT * FROM VALUES (1000, NULL, NULL), (8006, 1000, \"channel = 'digital'\"), "
         "(9006, 1000, \"channel = 'traditional'\") AS t(scope_id, parent_id, condition)"
     )
-    at = F.col("p_partkey").cast("int") - 1
+    at = F.col("at")
     first = 1995 + (at / 2).cast("int") % 7
     end = first + 1 + (at / 14).cast("int")
     condition = F.format_string("month >= DATE'%d-01-01' AND month < DATE'%d-01-01'", first, end)
-    more = table(spark, d, "part").where(at.between(0, 96)).select(
+    numbers = table(spark, d, "part").select(((F.col("p_partkey") - 1) % 97).cast("int").alias("at")).distinct()
+    more = numbers.select(
         (20000 + at).alias("scope_id"), F.when(at % 2 == 0, 8006).otherwise(9006).alias("parent_id"), condition.alias("condition")
     )
     known = scope_source.ScopeRegistry.from_table(base.union(more), ("channel", "month"))
@@ -349,12 +353,31 @@ def remainder_last(spark, d):
 
 
 def pivot_sorted(spark, d):
-    return placed(rank.sort_by_position(pivot_brand(spark, d), 1, "subcat1"))
+    return placed(pivot_brand(spark, d), "subcat1")
 
 
-def placed(report: DataFrame) -> DataFrame:
-    """The place of each row of a small sorted report."""
-    return report.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+def placed(wide: DataFrame, label: str) -> DataFrame:
+    """The place of each row by its first series, numbered in ranges of that order."""
+    return prefix.numbered(wide, rank.position_order(wide, 1, label), "place")
+
+
+def top_n_two_phase(spark, d):
+    """Where some labels are frequent, and where all are about equally frequent and have to be counted."""
+    rows = cases(spark, d)
+    frequent = heavy.top_n_two_phase(rows, F.col("reason"), "label")
+    flat = heavy.top_n_two_phase(table(spark, d, "lineitem"), F.col("l_orderkey").cast("string"), "label", tracked=100)
+    return sets.union_all([frequent.withColumn("part", F.lit("frequent")), flat.withColumn("part", F.lit("flat"))])
+
+
+def pareto_all_reasons(spark, d):
+    return prefix.pareto_classes(aggregate.count_by(in_period(spark, d), "reason"), "reason")
+
+
+def pareto_all_suppliers(spark, d):
+    """Suppliers by channel, many labels in each of two groups."""
+    side = F.when(F.col("l_linestatus") == "O", "digital").otherwise("traditional").alias("channel")
+    counts = table(spark, d, "lineitem").select(side, F.col("l_suppkey").alias("supplier")).groupBy("channel", "supplier").agg(F.count(F.lit(1)).alias(TOTAL))
+    return prefix.pareto_classes(counts, "supplier", by=["channel"])
 
 
 # Sets
@@ -527,6 +550,98 @@ def r_report_pack_direct(spark, d):
     return pack.report_pack(cases(spark, d), registry(), PARAMS, TAXONOMY, counting=pack.PER_REPORT)
 
 
+# Counts kept by month
+
+
+def kept_months(spark: SparkSession, d: str) -> monthly.MonthlyCounts:
+    """All months counted once, with other brands in May 1996; then that month counted again."""
+    rows = stored(cases(spark, d).drop("event_date"))
+    before = F.when(F.col("month") == F.lit("1996-05-01").cast("date"), F.concat(F.lit("old "), F.col("brand"))).otherwise(F.col("brand"))
+    kept = monthly.MonthlyCounts(shared_folder(spark), ("channel",))
+    kept.rebuild(rows.withColumn("brand", before))
+    kept.refresh(rows, ["1996-05"])
+    return kept
+
+
+def r_pack_from_months(spark, d):
+    return monthly.pack_from_months(spark, kept_months(spark, d), monthly_registry(), PARAMS, TAXONOMY)
+
+
+def brands_maintained(spark, d):
+    known = monthly_registry()
+    return kept_months(spark, d).brands(spark, known.scopes(known.ids()))
+
+
+def r_category_brand_kept(spark, d):
+    """The category report with the kept brand list: no case outside the period is read."""
+    brands = kept_months(spark, d).brands(spark, monthly_registry().scope(SCOPE)).select("brand")
+    return reports.category_by_brand_long(cases(spark, d), scope(), START, END, taxonomy=TAXONOMY, brands=brands)
+
+
+def multi_scope_from_months(spark, d):
+    """Totals of a hundred scopes from kept counts."""
+    known, ids = many_scopes(100)
+    kept = kept_months(spark, d)
+    return kept.counts(spark, known.scopes(ids), (), PARAMS.period)
+
+
+# Many scopes, paths, labels with blanks, months as text
+
+
+def multi_scope_2000(spark, d):
+    known, ids = many_scopes(2000)
+    return reports.total_cases(cases(spark, d), known.scopes(ids), START, END)
+
+
+def scope_path(spark, d):
+    return scope_source.scope_paths(hierarchy(spark, d)).drop("ids")
+
+
+def padded(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose types end in blanks, as many as the month tells."""
+    blanks = F.repeat(F.lit(" "), F.month("month") % 3)
+    return cases(spark, d).withColumn("case_type", F.concat(F.col("case_type"), blanks))
+
+
+def filter_type_padded(spark, d):
+    return filters.type_is(padded(spark, d), "1-urgent  ").select(*RAW)
+
+
+def count_by_padded(spark, d):
+    return aggregate.count_by(padded(spark, d), "case_type")
+
+
+def text_month_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their month as text in several spellings, and in none for some."""
+    spelled = """CASE l_linenumber WHEN 1 THEN date_format(l_shipdate, 'yyyy-MM-dd') WHEN 2 THEN date_format(l_shipdate, 'MM/yyyy')
+        WHEN 3 THEN date_format(l_shipdate, ' dd/MM/yyyy ') WHEN 4 THEN date_format(l_shipdate, 'yyyyMMdd') WHEN 5 THEN date_format(l_shipdate, 'yyyy-MM')
+        WHEN 6 THEN concat('n/a ', l_returnflag) ELSE NULL END"""
+    return line_cases(spark, d, spelled)
+
+
+def read_cases_text_months(spark, d):
+    return aggregate.count_rows(read_view(spark, text_month_rows(spark, d), "text_months"), ["month"])
+
+
+def bad_months(spark, d):
+    text_month_rows(spark, d).createOrReplaceTempView("cases_bad_months")
+    return months_unread(spark, TableSource("cases_bad_months"))
+
+
+def pivot_as_map(spark, d):
+    counts = aggregate.count_rows(in_period(spark, d), ["subcat1", "brand"])
+    cell = F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return pivot.pivot_map(counts, "subcat1", "brand").select("subcat1", F.array_join(cell, ",").alias("cells"))
+
+
+def report_published(spark, d):
+    """The newest of two published versions."""
+    root, report = shared_folder(spark), report_long(spark, d)
+    publish_report(report.where("sheet = 'channel_evolution'"), root)
+    publish_report(report, root)
+    return read_published(spark, root).select(*report.columns)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -601,6 +716,21 @@ QUERIES: dict[str, Query] = {
         pivot_special_names,
         r_report_pack_direct,
         r_report_packs,
+        top_n_two_phase,
+        pareto_all_reasons,
+        pareto_all_suppliers,
+        r_pack_from_months,
+        brands_maintained,
+        r_category_brand_kept,
+        multi_scope_from_months,
+        multi_scope_2000,
+        scope_path,
+        filter_type_padded,
+        count_by_padded,
+        read_cases_text_months,
+        bad_months,
+        pivot_as_map,
+        report_published,
     )
 } | {
     "r_type_breakdown": _report(reports.type_breakdown),
@@ -611,8 +741,8 @@ QUERIES: dict[str, Query] = {
     "r_complaint_pareto_last": _report(reports.complaint_pareto, last=True),
     "r_other_pareto": _report(reports.other_pareto),
     "r_other_pareto_last": _report(reports.other_pareto, last=True),
-    "r_category_brand": lambda spark, d: placed(_report(reports.category_by_brand)(spark, d)),
-    "r_category_brand_last": lambda spark, d: placed(_report(reports.category_by_brand, last=True)(spark, d)),
+    "r_category_brand": lambda spark, d: placed(_report(reports.category_by_brand)(spark, d), "category"),
+    "r_category_brand_last": lambda spark, d: placed(_report(reports.category_by_brand, last=True)(spark, d), "category"),
     "r_category_brand_long": _report(reports.category_by_brand_long),
     "r_top_line_variant": _report(reports.top_line_variant),
     "r_top_line_variant_last": _report(reports.top_line_variant, last=True),

@@ -1,6 +1,8 @@
 """Label expressions: comparing, rewriting and composing the texts reports are grouped by.
 
-Text comparison ignores case and keeps accents, so it is done on ``lower``.
+Text comparison ignores case and blanks at the end and keeps accents, as a SQL server's usual collation
+does. It is done on a folded form, which hashes and aggregates as plain text; collated columns would carry
+their collation into every result.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ WORD_RUNS = r"([\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}]+|[^\p{IsLowercase
 
 
 def fold(text: Column) -> Column:
-    """The form two labels share when they differ in case only."""
-    return F.lower(text)
+    """The form two labels share when they differ in case, or in blanks at their end, only."""
+    return F.lower(F.rtrim(text))
 
 
 def same_text(text: Column, value: str) -> Column:
@@ -26,7 +28,7 @@ def same_text(text: Column, value: str) -> Column:
 
 
 def text_in(text: Column, values: Iterable[str]) -> Column:
-    return fold(text).isin([value.lower() for value in values])
+    return fold(text).isin([fold(F.lit(value)) for value in values])
 
 
 def title_case(text: Column) -> Column:
@@ -34,6 +36,11 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, capitalize), "")
 
 
+def shown_label(text: Column) -> Column:
+    """Title case, equal for all labels that compare equal."""
+    return title_case(F.rtrim(text))
+
+
 def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2**31 - 1)))
 
@@ -77,6 +84,11 @@ def label_prefix(label: Column, separator: str = " - ") -> Column:
     return F.split_part(label, F.lit(separator), F.lit(1))
 
 
+def map_folded(text: Column, pairs: Mapping[str, object]) -> Column:
+    """Lookup of a label in a small literal mapping of labels; NULL for others."""
+    return _chain([(same_text(text, k), F.lit(v)) for k, v in pairs.items()], F.lit(None))
+
+
 def map_value(key: Column, pairs: Mapping[str, object], default: object | None = None) -> Column:
     """Lookup in a small literal mapping."""
     return _chain([(key == F.lit(k), F.lit(v)) for k, v in pairs.items()], F.lit(default))

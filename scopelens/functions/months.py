@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, functions as F
@@ -15,6 +16,15 @@ def parse_month(text: Column) -> Column:
     return F.try_to_date(text, "yyyy-MM")
 
 
+def day_of(text: Column, formats: Sequence[str]) -> Column:
+    """Text as a day, by the first of the formats it fits; NULL where it fits none.
+
+    Blanks around it do not matter. A format without a day gives the first of the month.
+    """
+    trimmed = F.trim(text)
+    return F.coalesce(*[F.try_to_date(trimmed, fmt) for fmt in formats])
+
+
 def month_start(moment: Column) -> Column:
     """The first day of the month of a date or timestamp."""
     return F.trunc(moment.cast("date"), "MM")

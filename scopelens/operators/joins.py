@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from scopelens.model import TOTAL
@@ -42,3 +44,10 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str, attribute: str, defaul
     if default is None:
         return joined
     return joined.withColumn(attribute, F.coalesce(attribute, F.lit(default)))
+
+
+def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of equal keys, NULL equal to NULL; the keys come once. Both sides may stem from one frame."""
+    renamed = {name: f"_other_{name}" for name in on}
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in renamed.items()]
+    return left.join(right.withColumnsRenamed(renamed), same, how).drop(*renamed.values())

@@ -46,3 +46,15 @@ def pivot_counts(
         return counts.select(named(rows)).distinct()
     cells = [F.coalesce(F.sum(F.when(named(columns) == F.lit(name), named(value))), F.lit(0)).alias(name) for name in values]
     return counts.groupBy(named(rows).alias(shown)).agg(*cells)
+
+
+def pivot_map(counts: DataFrame, rows: str, columns: str, name: str = "cells", value: str = TOTAL) -> DataFrame:
+    """One row per ``rows`` label with a map from column label to count.
+
+    Needs no schema known before, so no labels come to the driver and nothing bounds their number. A label
+    without count is not in the map; a NULL column label has no cell, but its row stays.
+    """
+    cells = counts.groupBy(named(rows).alias("_row"), named(columns).alias("_column")).agg(F.sum(named(value)).alias("_value"))
+    entry = F.when(F.col("_column").isNotNull(), F.struct("_column", "_value"))
+    listed = cells.groupBy("_row").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name))
+    return listed.withColumnRenamed("_row", rows)

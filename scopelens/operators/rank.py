@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scopelens.functions.labels import fold, map_value
+from scopelens.functions.labels import map_folded
 from scopelens.model import TOTAL
 from scopelens.operators.pivot import named
 
@@ -99,8 +99,8 @@ def share_of_total(counts: DataFrame, value: str = TOTAL, name: str = "share", b
 
 
 def explicit_rank(label: Column, order: Sequence[str]) -> Column:
-    """Place of a label in the list, ignoring case; NULL for others."""
-    return map_value(fold(label), {name.lower(): place for place, name in enumerate(order, start=1)})
+    """Place of a label in the list, compared as labels are; NULL for others."""
+    return map_folded(label, {name: place for place, name in enumerate(order, start=1)})
 
 
 def sort_by_explicit_order(df: DataFrame, label: str, order: Sequence[str], name: str = "rank") -> DataFrame:
@@ -116,9 +116,13 @@ def remainder_last(df: DataFrame, label: str, remainder: str, value: str = TOTAL
 
 def sort_by_position(df: DataFrame, position: int, label: str) -> DataFrame:
     """Largest first by the column at a position; a frame too narrow for it stays as it is."""
-    if len(df.columns) <= position:
-        return df
-    return df.orderBy(named(df.columns[position]).desc(), named(label).asc_nulls_first())
+    return df.orderBy(*position_order(df, position, label)) if len(df.columns) > position else df
+
+
+def position_order(df: DataFrame, position: int, label: str) -> list[Column]:
+    """Largest first by the column at a position, if there is one, then by label."""
+    at = [named(df.columns[position]).desc()] if len(df.columns) > position else []
+    return [*at, named(label).asc_nulls_first()]
 
 
 def sort_asc(df: DataFrame, key: str) -> DataFrame:

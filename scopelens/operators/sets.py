@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from scopelens.functions.labels import fold, map_value
+from scopelens.functions.labels import map_folded
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -17,10 +17,7 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def present_in_order(df: DataFrame, column: str, expected: Sequence[str]) -> DataFrame:
     """The expected labels that occur, numbered by their place in the list."""
-    places = {label.lower(): place for place, label in enumerate(expected, start=1)}
-    names = {label.lower(): label for label in expected}
-    found = df.select(fold(F.col(column)).alias("_key")).where(F.col("_key").isin(list(places))).distinct()
-    return found.select(
-        map_value(F.col("_key"), names).alias(column),
-        map_value(F.col("_key"), places).alias("rank"),
-    ).orderBy("rank")
+    place = map_folded(F.col(column), {label: place for place, label in enumerate(expected, start=1)})
+    found = df.select(place.cast("int").alias("rank")).where(F.col("rank").isNotNull()).distinct()
+    name = F.element_at(F.array(*[F.lit(label) for label in expected]).cast("array<string>"), F.col("rank"))
+    return found.select(name.alias(column), "rank").orderBy("rank")

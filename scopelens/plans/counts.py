@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from scopelens.model import SCOPE_ID, TOTAL, Period
 from scopelens.operators.aggregate import count_rows
 from scopelens.operators.filters import in_period
+from scopelens.plans.membership import MANY_SCOPES, counts_by_scope
 from scopelens.sources.scopes import Scope, covering, explode_membership, membership
 
 Scopes = Scope | Sequence[Scope]
@@ -31,11 +32,14 @@ def split_rows(cases: DataFrame, scope: Scopes) -> tuple[DataFrame, list[str]]:
     return rows.withColumns(words), list(words)
 
 
-def by_scope(counts: DataFrame, scope: Scopes) -> DataFrame:
-    """Counts by the columns of ``split_rows``, as counts of each scope."""
+def by_scope(counts: DataFrame, scope: Scopes, kept: Sequence[str] = ()) -> DataFrame:
+    """Counts by the columns of ``split_rows``, as counts of each scope; ``kept`` dimensions are keys as well."""
     if isinstance(scope, Scope):
         return counts
     if scope[0].dimensions:
+        if len(scope) >= MANY_SCOPES and TOTAL in counts.columns:
+            keys = [name for name in counts.columns if name != TOTAL and (name in kept or name not in scope[0].dimensions)]
+            return counts_by_scope(counts, scope, keys)
         counts = counts.withColumns(membership(scope))
     return explode_membership(counts, scope)
 
@@ -57,4 +61,4 @@ def scope_counts(
         rows = rows.where(condition)
     rows, apart = split_rows(rows, scope)
     counts = count_rows(rows, list(dict.fromkeys([*apart, *keys])))
-    return by_scope(counts, scope).select(*by_columns(scope), *keys, TOTAL)
+    return by_scope(counts, scope, keys).select(*by_columns(scope), *keys, TOTAL)

@@ -22,6 +22,7 @@ from scopelens.functions.labels import (
     reason_label,
     same_text,
     series_label,
+    shown_label,
     text_in,
     title_case,
     type_reason_label,
@@ -280,7 +281,7 @@ def brand_names(cases: DataFrame, scope: Scopes, taxonomy: Taxonomy = PORTUGUESE
 
 def shown_brands(brands: DataFrame, taxonomy: Taxonomy = PORTUGUESE, by: Sequence[str] = ()) -> DataFrame:
     shown = brand_label(F.col(BRAND), taxonomy.catch_all_brand, taxonomy.catch_all_label)
-    return brands.where(F.col(BRAND).isNotNull()).select(*by, title_case(shown).alias(BRAND)).distinct()
+    return brands.where(F.col(BRAND).isNotNull()).select(*by, shown_label(shown).alias(BRAND)).distinct()
 
 
 def given_brands(brands: DataFrame, scope: Scopes, taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
@@ -362,13 +363,13 @@ def category_by_brand_long_from(
 def category_counts(counts: DataFrame, by: Sequence[str] = (), taxonomy: Taxonomy = PORTUGUESE) -> DataFrame:
     """Counts by shown category and shown brand; NULL, not a count, where there is no brand.
 
-    Title case also joins the case variants.
+    Shown labels also join the variants that compare equal.
     """
     category = default_label(F.col(SUBCAT1), taxonomy.default_subcat1)
     brand = brand_label(F.col(BRAND), taxonomy.catch_all_brand, taxonomy.catch_all_label)
     branded = F.when(F.col(BRAND).isNotNull(), F.col(TOTAL))
     return counts.groupBy(
-        *by, title_case(category).alias("category"), title_case(brand).alias(BRAND)
+        *by, shown_label(category).alias("category"), shown_label(brand).alias(BRAND)
     ).agg(F.sum(branded).alias(TOTAL))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scopelens.functions.months import month_start
-from scopelens.model import CASE_SCHEMA, EVENT_DATE, MONTH
+from scopelens.functions.months import day_of, month_start
+from scopelens.model import CASE_SCHEMA, EVENT_DATE, MONTH, TOTAL
 
 
 @dataclass(frozen=True)
@@ -65,35 +65,89 @@ class JdbcSource:
         return spark.read.format("jdbc").options(**self.settings()).load()
 
 
+#: How months and days are spelled where they are stored as text, tried in this order.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM", "dd/MM/yyyy", "MM/yyyy", "yyyyMMdd")
+#: A moment that is no date, as ``bad_months`` shows it.
+BAD_MONTH = "bad_month"
+
+
 def read_cases(
     spark: SparkSession,
     source: FileSource | TableSource | JdbcSource,
     columns: Mapping[str, str] | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """The case table under this library's column names.
 
     ``columns`` maps our names to the table's; others are kept for scope conditions. ``month`` and
-    ``event_date``, if there is one, must be dates or timestamps. ``month`` becomes the first day of
-    its month, whatever day is stored; without an ``event_date`` the stored day is kept as one, so that
-    month filters still reach the scan.
+    ``event_date``, if there is one, are dates, timestamps, or texts in one of the ``formats``. ``month``
+    becomes the first day of its month, whatever day is stored; without an ``event_date`` the stored day is
+    kept as one, so that month filters still reach the scan (of dates; a text has to be read first).
+
+    A row whose month is a text that is no date is left out here, and is in ``bad_months``. An
+    ``event_date`` that is no date is NULL, so the month alone decides.
+    """
+    cases = _named(spark, source, columns)
+    if dict(cases.dtypes)[MONTH] == "string":
+        cases = cases.where(~_is_bad(cases, formats))
+    read = {name: _day(cases, name, formats) for name in (MONTH, EVENT_DATE) if name in cases.columns}
+    cases = cases.withColumns(read)
+    if EVENT_DATE not in cases.columns:
+        cases = cases.withColumn(EVENT_DATE, F.col(MONTH))
+    return cases.withColumn(MONTH, month_start(F.col(MONTH)))
+
+
+def bad_months(
+    spark: SparkSession,
+    source: FileSource | TableSource | JdbcSource,
+    columns: Mapping[str, str] | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
+) -> DataFrame:
+    """The texts that ``read_cases`` cannot read as a month, with the number of their rows.
+
+    Together with the cases read they are all rows of the table. A missing month is not bad: it is read as NULL.
     """
+    cases = _named(spark, source, columns)
+    bad = cases.where(_is_bad(cases, formats)).select(F.col(MONTH).cast("string").alias(BAD_MONTH))
+    return bad.groupBy(BAD_MONTH).agg(F.count(F.lit(1)).alias(TOTAL))
+
+
+def _named(spark: SparkSession, source: FileSource | TableSource | JdbcSource, columns: Mapping[str, str] | None) -> DataFrame:
     cases = source.load(spark).withColumnsRenamed({theirs: ours for ours, theirs in (columns or {}).items()})
     missing = [name for name in CASE_SCHEMA.names if name not in cases.columns]
     if missing:
         raise ValueError(f"case table lacks {', '.join(missing)}")
     kinds = dict(cases.dtypes)
     for name in (MONTH, EVENT_DATE):
-        if kinds.get(name, "date") not in ("date", "timestamp", "timestamp_ntz"):
-            raise ValueError(f"{name} must be a date or a timestamp, not {kinds[name]}")
-    if EVENT_DATE not in kinds:
-        cases = cases.withColumn(EVENT_DATE, F.col(MONTH))
-    return cases.withColumn(MONTH, month_start(F.col(MONTH)))
+        if kinds.get(name, "date") not in ("date", "timestamp", "timestamp_ntz", "string"):
+            raise ValueError(f"{name} must be a date, a timestamp or text, not {kinds[name]}")
+    return cases
 
 
-def write_cases(cases: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def _day(cases: DataFrame, name: str, formats: Sequence[str]) -> Column:
+    return day_of(F.col(name), formats) if dict(cases.dtypes)[name] == "string" else F.col(name)
+
+
+def _is_bad(cases: DataFrame, formats: Sequence[str]) -> Column:
+    return F.col(MONTH).isNotNull() & _day(cases, MONTH, formats).isNull()
+
+
+def write_cases(
+    cases: DataFrame, path: str, mode: str = "errorifexists", sort_by: Sequence[str] = (), looked_up: Sequence[str] = ()
+) -> None:
     """Stores cases by month, so that a month range becomes a choice of directories.
 
     The rebalance hint has AQE split a month that holds most of the cases into several tasks and
     join small ones into one, where a repartition by month would give each month one task.
+
+    Rows of a month are sorted by ``sort_by``, the columns scopes are confined to, so that row groups hold few
+    of their values and are skipped by their statistics. ``looked_up`` columns get bloom filters, by
+    which row groups without a label are skipped however it is spread.
     """
-    cases.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).mode(mode).parquet(path)
+    rows = cases.hint("rebalance", F.col(MONTH))
+    if sort_by:
+        rows = rows.sortWithinPartitions(MONTH, *sort_by)
+    writer = rows.write.partitionBy(MONTH).mode(mode)
+    for name in looked_up:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(path)

@@ -159,3 +159,37 @@ def scope_label(catalogue: DataFrame, scope_id: int, name: str = "name") -> Data
     """A scope's name as shown in captions: looked up by id, without brackets, in title case."""
     found = catalogue.where(F.col(SCOPE_ID) == scope_id)
     return found.select(SCOPE_ID, title_case(strip_brackets(F.col(name))).alias("label"))
+
+
+#: Levels of a hierarchy that ``scope_paths`` follows.
+MOST_LEVELS = 100
+
+_PATHS = """
+WITH RECURSIVE path (id, at, depth, ids, names, circular) MAX RECURSION LEVEL {levels} AS (
+    SELECT {id}, {parent}, 0, array({id}), array({name}), false FROM {{scopes}} WHERE {id} IS NOT NULL
+    UNION ALL
+    SELECT path.id, up.{parent}, path.depth + 1, array_prepend(path.ids, up.{id}), array_prepend(path.names, up.{name}),
+           array_contains(path.ids, up.{id})
+    FROM path JOIN {{scopes}} AS up ON path.at = up.{id} WHERE NOT path.circular)
+SELECT id, max_by(at, depth) AS at, max(depth) AS depth, max_by(ids, depth) AS ids, max_by(names, depth) AS names, bool_or(circular) AS circular
+FROM path GROUP BY id"""
+
+
+def scope_paths(catalogue: DataFrame, name: str = "name", parent: str = "parent_id", separator: str = " / ", levels: int = MOST_LEVELS) -> DataFrame:
+    """Each scope's way down from its root: ``path`` of shown names, ``ids``, ``depth`` (a root's is 0) and ``state``.
+
+    The state is ``complete``, ``orphan`` if the uppermost scope found names a parent that is not in the catalogue, or
+    ``circle`` if scopes narrow each other in a circle; the path of these then begins where the circle closes.
+    More than ``levels`` levels are an error, as are repeated ids of parents: each would double the paths.
+    """
+    ids = catalogue.groupBy(SCOPE_ID).count()
+    once = ids.agg(F.coalesce(F.max("count"), F.lit(0)) > 1).scalar()
+    checked = catalogue.select(
+        F.when(once & F.col(SCOPE_ID).isNotNull(), F.raise_error(F.lit("a scope is defined twice")).cast("long")).otherwise(F.col(SCOPE_ID)).alias("id"),
+        F.col(parent).cast("long").alias("parent"),
+        title_case(strip_brackets(F.coalesce(F.col(name), F.lit("")))).alias("shown"),
+    )
+    query = _PATHS.format(levels=levels, id="id", parent="parent", name="shown")
+    found = catalogue.sparkSession.sql(query, scopes=checked)
+    state = F.when(F.col("circular"), "circle").when(F.col("at").isNotNull(), "orphan").otherwise("complete")
+    return found.select(F.col("id").alias(SCOPE_ID), F.array_join("names", separator).alias("path"), "ids", "depth", state.alias("state"))
