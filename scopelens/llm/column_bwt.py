@@ -2,8 +2,10 @@
 
 Every round inserts one symbol of each string, from its end to its start: the suffix that grew by this
 symbol is placed by counting the symbol before the shorter suffix, and the common prefixes beside it
-follow from minima between neighbouring occurrences. The collection lies in files, one set for each
-first symbol ("pile"), which a round reads and writes in order; one pile is in memory at a time.
+follow from minima between neighbouring occurrences. The collection lies in one file, in which suffixes with the
+same first symbol ("piles") follow each other. A round reads the file once from start to end and writes the
+next one; a pile that has just received its suffixes also tells where these grow to in the next round, so
+no pile is read twice. One pile is in memory at a time.
 """
 
 from __future__ import annotations
@@ -20,23 +22,6 @@ _ROW = np.dtype([("bwt", np.uint16), ("lcp", np.uint16), ("who", np.int32), ("st
 _SYMBOLS = 258
 
 
-class _Piles:
-    """The files, and how often each symbol occurs in each pile."""
-
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.counts: dict[int, np.ndarray] = {}
-
-    def read(self, symbol: int) -> np.ndarray:
-        if symbol not in self.counts:
-            return np.empty(0, _ROW)
-        return np.fromfile(self.folder / str(symbol), _ROW)
-
-    def write(self, symbol: int, rows: np.ndarray) -> None:
-        self.counts[symbol] = np.bincount(rows["bwt"], minlength=_SYMBOLS)
-        rows.tofile(self.folder / str(symbol))
-
-
 def _rows(bwt, lcp, who, start) -> np.ndarray:
     rows = np.empty(len(who), _ROW)
     rows["bwt"], rows["lcp"], rows["who"], rows["start"] = bwt, lcp, who, start
@@ -67,63 +52,65 @@ def sorted_suffixes(strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarr
         out[inner] = symbols[firsts[who[inner]] + start[inner] - 1]
         return out
 
+    everyone, zero = np.arange(count), np.zeros(count, np.int64)
+    symbol, start = before(everyone, lengths), lengths.copy()
+    empty = _rows(symbol, zero, everyone, lengths)  # the empty suffixes, which come first and stay
+    ended = np.bincount(empty["bwt"], minlength=_SYMBOLS)
+    live = np.flatnonzero(symbol != END)
+    rank, above, below = (np.zeros(count, np.int64) for _ in range(3))
+    rank[live], above[live], below[live] = _grown(empty, live, symbol[live], np.zeros(_SYMBOLS, np.int64))
+    sizes: dict[int, int] = {}  # suffixes of each pile, in the order of the file
     with tempfile.TemporaryDirectory(prefix="piles-") as folder:
-        piles = _Piles(folder)
-        everyone = np.arange(count)
-        zero = np.zeros(count, np.int64)
-        symbol = before(everyone, lengths)
-        piles.write(END, _rows(symbol, zero, everyone, lengths))
-        pile, place, start = zero.copy(), everyone.copy(), lengths.copy()
-        while True:
-            live = np.flatnonzero(symbol != END)
-            if not len(live):
-                break
-            rank, above, below = _ranks(piles, live, pile, place, symbol)
-            current = symbol[live]
-            for s in np.unique(current).tolist():
-                mine = np.flatnonzero(current == s)
-                mine = mine[np.argsort(rank[mine])]
-                who, new = live[mine], rank[mine]
-                start[who] -= 1
-                following = before(who, start[who])
-                rows = piles.read(s)
-                grown = np.empty(len(rows) + len(new), _ROW)
-                old = np.ones(len(grown), bool)
-                old[new] = False
-                grown[old], grown[new] = rows, _rows(following, above[mine], who, start[who])
-                inner = new + 1 < len(grown)
-                grown["lcp"][new[inner] + 1] = below[mine][inner]
-                piles.write(s, grown)
-                pile[who], place[who] = s, new
-                symbol[who] = following
-        for s in sorted(piles.counts.keys() - {END}):
-            rows = piles.read(s)
-            yield rows["who"], rows["start"], rows["lcp"]
-
-
-def _ranks(piles: _Piles, live: np.ndarray, pile: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each string's newest suffix: occurrences of its symbol before it, and the prefixes that the
-    grown suffix will share with the suffixes above and below it in its pile."""
-    rank, above, below = (np.zeros(len(live), np.int64) for _ in range(3))
-    seen = np.zeros(_SYMBOLS, np.int64)
-    order = np.argsort(pile[live], kind="stable")
-    cuts = np.searchsorted(pile[live[order]], np.arange(_SYMBOLS + 1))
-    for p in sorted(piles.counts):
-        mine = order[cuts[p] : cuts[p + 1]]
-        if len(mine):
-            rows = piles.read(p)
-            where, own = place[live[mine]], symbol[live[mine]]
-            grouped = np.argsort(rows["bwt"], kind="stable")  # occurrences of each symbol, in order
-            turn = np.empty(len(grouped), np.int64)
-            turn[grouped] = np.arange(len(grouped))
-            first = np.cumsum(np.append(0, piles.counts[p]))
-            at = turn[where]
-            rank[mine] = seen[own] + at - first[own]
-            above[mine] = seen[own] > 0
-            inner = at > first[own]
-            above[mine[inner]] = 1 + _range_minima(rows["lcp"], grouped[at[inner] - 1] + 1, where[inner] + 1)
-            below[mine] = 1
-            inner = at + 1 < first[own + 1]
-            below[mine[inner]] = 1 + _range_minima(rows["lcp"], where[inner] + 1, grouped[at[inner] + 1] + 1)
-        seen += piles.counts[p]
-    return rank, above, below
+        file = Path(folder) / "0"
+        file.touch()
+        for turn in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[np.lexsort((rank[live], symbol[live]))]
+            cuts = np.searchsorted(symbol[live], np.arange(_SYMBOLS + 1))
+            seen, grown_sizes, following = ended.copy(), {}, Path(folder) / str(turn)
+            with file.open("rb") as source, following.open("wb") as target:
+                for s in sorted(sizes.keys() | set(np.unique(symbol[live]).tolist())):
+                    rows, who = np.fromfile(source, _ROW, sizes.get(s, 0)), live[cuts[s] : cuts[s + 1]]
+                    if len(who):
+                        start[who] -= 1
+                        symbol[who] = before(who, start[who])
+                        new = rank[who]
+                        rows = _inserted(rows, new, _rows(symbol[who], above[who], who, start[who]), below[who])
+                        on = symbol[who] != END
+                        rank[who[on]], above[who[on]], below[who[on]] = _grown(rows, new[on], symbol[who[on]], seen)
+                    rows.tofile(target)
+                    grown_sizes[s] = len(rows)
+                    seen += np.bincount(rows["bwt"], minlength=_SYMBOLS)
+            file.unlink()
+            file, sizes = following, grown_sizes
+            live = live[symbol[live] != END]
+        with file.open("rb") as source:
+            for size in sizes.values():
+                rows = np.fromfile(source, _ROW, size)
+                yield rows["who"], rows["start"], rows["lcp"]
+
+
+def _inserted(rows: np.ndarray, places: np.ndarray, new: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """A pile with new suffixes at their places, and the prefix that each shares with the one after it."""
+    out = np.empty(len(rows) + len(new), _ROW)
+    old = np.ones(len(out), bool)
+    old[places] = False
+    out[old], out[places] = rows, new
+    inner = places + 1 < len(out)
+    out["lcp"][places[inner] + 1] = below[inner]
+    return out
+
+
+def _grown(rows: np.ndarray, where: np.ndarray, own: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes of a pile that grow by the symbols ``own``: the occurrences of the symbol before them (``seen``:
+    in earlier piles), and the prefixes that the grown suffix will share with those above and below it."""
+    grouped = np.argsort(rows["bwt"], kind="stable")  # occurrences of each symbol, in order
+    turn = np.empty(len(grouped), np.int64)
+    turn[grouped] = np.arange(len(grouped))
+    first = np.cumsum(np.append(0, np.bincount(rows["bwt"], minlength=_SYMBOLS)))
+    at = turn[where]
+    above, below = (seen[own] > 0).astype(np.int64), np.ones(len(where), np.int64)
+    inner = at > first[own]
+    above[inner] = 1 + _range_minima(rows["lcp"], grouped[at[inner] - 1] + 1, where[inner] + 1)
+    inner = at + 1 < first[own + 1]
+    below[inner] = 1 + _range_minima(rows["lcp"], where[inner] + 1, grouped[at[inner] + 1] + 1)
+    return seen[own] + at - first[own], above, below

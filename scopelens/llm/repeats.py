@@ -14,7 +14,8 @@ pieces that can be sorted apart and lose no match:
    the anchor's range share are cut to the pieces of that quarter; 15 bits of the middle's hash sort
    out most that do not agree. A piece's key is then made from the whole hash of the middle, some 80
    bytes, so that all pieces of a key have it in common. It is written as the key's number in
-   ``DIGITS`` bytes, which leaves some 40 bytes.
+   ``DIGITS`` bytes, which leaves some 40 bytes. A piece that shares its key with no other holds no repeat; of
+   pieces with equal bytes the others than the first are repeats.
 3. The pieces dealt to a task form a collection whose Burrows-Wheeler transform and common prefixes are
    built column by column in sequential files (``column_bwt``). Suffixes that share ``length`` bytes
    with their predecessor are one string; all its occurrences but the first are repeats.
@@ -24,7 +25,8 @@ bytes of a piece around its middle are compared themselves.
 
 Defined cases: null texts are empty; rows with a null id are left out; repeated rows (equal id and
 text) are one document and get equal results; rows of equal id and different texts are ordered by a
-hash of their texts; other columns are kept.
+hash of their texts; other columns are kept, ones named ``n_bytes``, ``spans`` or
+``kept_bytes`` are replaced.
 """
 
 from __future__ import annotations
@@ -38,14 +40,15 @@ from pyspark.sql import functions as F
 
 from scopelens.llm.blocks import Block, Hashes, blocks, mixed
 from scopelens.llm.column_bwt import sorted_suffixes
-from scopelens.llm.tables import stored
+from scopelens.llm.memory import tidy
+from scopelens.llm.tables import free_name, stored
 
 ANCHOR, QUARTERS = 28, 4
 #: Pieces of a collection, which ends with the first key that begins after so many; bytes of a key's number.
 COLLECTION, DIGITS = 60_000, 4
 _STRETCHES = "anchor long, same long, parts long, id long, place long, count int, settled boolean"
 _FOUND = "id long, text_hash int, start long, count int, key long, quarter int, before int"
-_PIECE = ["key", "id", "text_hash", "start", "quarter", "before", "after"]
+_PIECE = ["key", "id", "text_hash", "start", "count", "before", "after"]
 
 
 # A stretch's place holds the text's hash, the first string's start and the anchor's distance from it,
@@ -224,7 +227,7 @@ def _pieces(length: int):
                             end = middle + middles[piece["quarter"]]
                             after = text[end : start + piece["count"] - 1 + length]
                             held.append((int(block.offsets[row]) + middle, int(block.offsets[row]) + end))
-                            out.append((piece["key"], doc, piece["text_hash"], start, piece["quarter"], text[start:middle], after))
+                            out.append((piece["key"], doc, piece["text_hash"], start, piece["count"], text[start:middle], after))
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -235,20 +238,40 @@ def _pieces(length: int):
     return pieces
 
 
+def _repeated(ids, text_hash, start, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text_hash), pa.array(start), pa.array(count)], ["id", "text_hash", "start", "count"])
+
+
 def _compare(length: int):
     """Repeated strings among the pieces of a partition, in collections of bounded size."""
     wanted = -(-(length - ANCHOR + 1) // QUARTERS) - 1 + DIGITS  # symbols of a string
 
     def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        ids, text_hash, start, key = (np.asarray(table.column(c)) for c in ("id", "text_hash", "start", "key"))
+        key = np.asarray(table.column("key"))
+        number = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        shared = np.bincount(number)[number] > 1  # a string is repeated in two pieces of one key, or not at all
+        table, number = table.filter(pa.array(shared)), number[shared]
+        if not len(number):
+            return
+        ids, text_hash, start, count = (np.asarray(table.column(c)) for c in ("id", "text_hash", "start", "count"))
         before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
-        number = np.cumsum(np.append(0, key[1:] != key[:-1])).tolist()
-        strings = [a + k.to_bytes(DIGITS, "big") + b for a, k, b in zip(before, number, after, strict=True)]
-        ahead, number = np.array([len(a) for a in before]), np.array(number)
+        # of pieces with equal bytes the others than the first are repeats as they are
+        order = np.lexsort((start, text_hash, ids, number)).tolist()
+        seen: dict[tuple, int] = {}
+        copy = np.zeros(len(number), bool)
+        for k, kind in zip(order, number[order].tolist(), strict=True):
+            copy[k] = seen.setdefault((kind, before[k], after[k]), k) != k
+        if copy.any():
+            yield _repeated(ids[copy], text_hash[copy], start[copy], count[copy])
+        left = np.flatnonzero(~copy)
+        left = left[np.bincount(number[left])[number[left]] > 1]
+        ids, text_hash, start, number = ids[left], text_hash[left], start[left], number[left]
+        strings = [before[k] + int(kind).to_bytes(DIGITS, "big") + after[k] for k, kind in zip(left.tolist(), number.tolist(), strict=True)]
+        ahead = np.array([len(before[k]) for k in left.tolist()], np.int64)
         repeats: list[np.ndarray] = []
-        for who, begin, shared in sorted_suffixes(strings):
-            same = shared >= wanted
+        for who, begin, common in sorted_suffixes(strings):
+            same = common >= wanted
             same[:1] = False
             inside = same.copy()
             inside[:-1] |= same[1:]  # with the first of each string
@@ -273,10 +296,7 @@ def _compare(length: int):
             who, place = who[order], place[order]
             new = np.append(True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1))
             at = np.flatnonzero(new)
-            count = np.diff(np.append(at, len(who))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[who[at]]), pa.array(text_hash[who[at]]), pa.array(place[at]), pa.array(count)], ["id", "text_hash", "start", "count"]
-            )
+            yield _repeated(ids[who[at]], text_hash[who[at]], place[at], np.diff(np.append(at, len(who))).astype(np.int32))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -304,11 +324,12 @@ def _kept(length: int):
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         for batch in batches:
             out: list[tuple] = []
-            for block in blocks(batch.column("text")):
+            texts, found = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            for block in blocks(texts):
                 hashes = _text_hash(block, Hashes(block.data))
                 for row in range(len(block)):
                     size = int(block.offsets[row + 1] - block.offsets[row])
-                    strings = batch.column("strings")[block.first + row].as_py() or []
+                    strings = found[block.first + row].as_py() or []
                     cover = np.zeros(size + 1, np.int64)
                     for string in strings:
                         if string["text_hash"] == hashes[row]:
@@ -337,20 +358,22 @@ def without_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """The documents but for their text, with ``n_bytes``, ``spans`` (removed bytes, end excluded) and ``kept_bytes``."""
     present = documents.where(F.col(doc_id).isNotNull())
     texts = present.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    stretches = texts.where(F.octet_length("text") >= length).mapInArrow(_cut(length), _STRETCHES)
+    stretches = texts.where(F.octet_length("text") >= length).mapInArrow(tidy(_cut(length)), _STRETCHES)
     dealt = stretches.repartition(_parts(stretches), "anchor").sortWithinPartitions("anchor", "same", "settled", "id", "place")
-    found = stored(dealt.mapInArrow(_settle(length), _FOUND))
+    found = stored(dealt.mapInArrow(tidy(_settle(length)), _FOUND))
     wanted = found.where("key is not null").groupBy("id").agg(F.collect_list(F.struct("key", "quarter", "text_hash", "start", "count", "before")).alias("pieces"))
-    pieces = texts.join(wanted, "id").mapInArrow(_pieces(length), "key long, id long, text_hash int, start long, quarter int, before binary, after binary")
+    pieces = texts.join(wanted, "id").mapInArrow(tidy(_pieces(length)), "key long, id long, text_hash int, start long, count int, before binary, after binary")
     pieces = pieces.repartition(_parts(pieces), "key").sortWithinPartitions("key")
-    compared = pieces.mapInArrow(_compare(length), "id long, text_hash int, start long, count int")
+    compared = pieces.mapInArrow(tidy(_compare(length)), "id long, text_hash int, start long, count int")
     repeats = stored(found.where("key is null").select("id", "text_hash", "start", "count").union(compared))
     strings = repeats.groupBy("id").agg(F.collect_list(F.struct("text_hash", "start", "count")).alias("strings"))
     others = [name for name in documents.columns if name != text and name not in ("n_bytes", "spans", "kept_bytes")]
-    own = present.select(*[F.col(f"`{name}`") for name in others], F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
-    joined = own.join(strings.withColumnRenamed("id", "_id"), "_id", "left").select(*[F.col(f"`{name}`") for name in others], "text", "strings")
+    # columns of this step have names of their own, so any columns can come along
+    own_id, own_text, own_strings = (free_name(documents, name) for name in ("own_id", "own_text", "own_strings"))
+    own = present.select(*[F.col(f"`{name}`") for name in others], F.col(doc_id).cast("long").alias(own_id), F.col(text).alias(own_text))
+    joined = own.join(strings.withColumnsRenamed({"id": own_id, "strings": own_strings}), own_id, "left").select(*[F.col(f"`{name}`") for name in others], own_text, own_strings)
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[:-2])
-    return joined.mapInArrow(_kept(length), f"{kinds}, n_bytes long, spans array<struct<from: long, to: long>>, kept_bytes binary")
+    return joined.mapInArrow(tidy(_kept(length)), f"{kinds}, n_bytes long, spans array<struct<from: long, to: long>>, kept_bytes binary")
 
 
 def whole_characters(kept: str = "kept_bytes") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scopelens.session import shared_folder, stored
 
-__all__ = ["crc_fold", "shared_folder", "stored", "table"]
+__all__ = ["crc_fold", "free_name", "shared_folder", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_fold(column: str, folds: int) -> Column:
     """The fold of an id: crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table has not, in any case of letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
