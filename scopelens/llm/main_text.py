@@ -1,12 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block elements. Containers that name their purpose (navigation, forms,
+A page is cut into blocks at block elements. Where an article or main element holds most of the running text
+(that is not mostly links), blocks outside are left out; a smaller one, such as a teaser card, says nothing. Containers that name their purpose (navigation, forms,
 adverts, comments and so on, by element, role, class or id) drop their blocks. The first pass
 decides the others by length, link density and stop-word density: many links are bad, many stop words good;
 blocks inside an article or main element need no stop words. Blocks too short, or with too few stop
 words, to decide take the label of the nearest decided block in
 the second pass; between two at equal distance the good one wins. Where no block is decided, those in
-an article or main element are good, or all if there is no such element.
+such an element are good, or all if there is none. A class or id counts by its parts; words
+such as search or alert do not count where the name ends in one of content, such as ``search-result``.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an
 empty line.
@@ -48,6 +50,11 @@ DROPPED_MARKS = frozenset(
     "cookie cookies consent gdpr notice alert warning popup modal overlay newsletter subscribe subscription signup login search "
     "share sharing social follow skip hidden".split()
 )
+#: Marks that say little where the name ends in one of content (``search-result``, ``alert-level-story``), and
+#: the only ones that count on an article element.
+WEAK_MARKS = frozenset("header search cookie cookies consent notice alert warning share sharing social follow popular trending".split())
+CONTENT_NAMES = frozenset("article articles story stories content body text result results paragraph entry post level".split())
+ARTICLE_MARKS = frozenset("comment comments reply related ad sponsored promo".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MAIN_ELEMENTS = frozenset(("article", "main"))
 CONTAINERS = frozenset(
@@ -90,6 +97,13 @@ class _Block:
         return len(" ".join(html.unescape("".join(self.linked)).split())) / max(1, len(text))
 
 
+def _marks(token: str) -> set[str]:
+    """Marks among the parts of one class or id; a weak one does not count before a name of content."""
+    parts = [part.lower() for part in _PART.findall(token)]
+    found = set(parts) & DROPPED_MARKS
+    return found - WEAK_MARKS if parts and parts[-1] in CONTENT_NAMES else found
+
+
 def _marked(name: str, rest: str, marks: bool) -> bool:
     """Whether an element says that it is no main text."""
     if name in DROPPED_ELEMENTS:
@@ -103,8 +117,8 @@ def _marked(name: str, rest: str, marks: bool) -> bool:
         if key == "role" and value.lower() in DROPPED_ROLES:
             return True
         if marks and key in ("class", "id"):
-            found = {part.lower() for part in _PART.findall(value)} & DROPPED_MARKS
-            if found and (name != "article" or found & {"comment", "comments", "reply", "related", "ad", "sponsored", "promo"}):
+            found = set().union(*map(_marks, value.split()))
+            if found and (name != "article" or found & ARTICLE_MARKS):
                 return True
     return False
 
@@ -210,9 +224,13 @@ def main_text(page: str | None) -> str:
     for marks in (True, False):
         blocks = [(block, block.text()) for block in _blocks(page or "", marks)]
         blocks = [(block, text) for block, text in blocks if text]
-        if any(block.main and not block.dropped for block, _ in blocks):
-            # an article stands for itself; what is outside is no part of it
+        running = [(block.main, len(text)) for block, text in blocks if not block.dropped and block.link_density(text) <= MOST_LINKS]
+        if 2 * sum(length for main, length in running if main) >= sum(length for _, length in running) > 0:
+            # an article that holds most of the page's running text stands for itself; what is outside is no part of it
             blocks = [(block, text) for block, text in blocks if block.main]
+        else:  # a teaser, or none: the elements say nothing, and all blocks are judged by their text
+            for block, _ in blocks:
+                block.main = False
         kept = [text for (_, text), good in zip(blocks, _labels(blocks), strict=True) if good]
         if kept:
             return "\n\n".join(kept)
