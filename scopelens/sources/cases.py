@@ -80,18 +80,16 @@ def read_cases(
     """The case table under this library's column names.
 
     ``columns`` maps our names to the table's; others are kept for scope conditions. ``month`` and
-    ``event_date``, if there is one, are dates, timestamps, or texts in one of the ``formats``. ``month``
+    ``event_date``, if there is one, are dates or timestamps; ``month`` may be text in one of the ``formats``. It
     becomes the first day of its month, whatever day is stored; without an ``event_date`` the stored day is
     kept as one, so that month filters still reach the scan (of dates; a text has to be read first).
 
-    A row whose month is a text that is no date is left out here, and is in ``bad_months``. An
-    ``event_date`` that is no date is NULL, so the month alone decides.
+    A row whose month is a text that is no date is left out here, and is in ``bad_months``.
     """
     cases = _named(spark, source, columns)
     if dict(cases.dtypes)[MONTH] == "string":
         cases = cases.where(~_is_bad(cases, formats))
-    read = {name: _day(cases, name, formats) for name in (MONTH, EVENT_DATE) if name in cases.columns}
-    cases = cases.withColumns(read)
+    cases = cases.withColumn(MONTH, _day(cases, formats))
     if EVENT_DATE not in cases.columns:
         cases = cases.withColumn(EVENT_DATE, F.col(MONTH))
     return cases.withColumn(MONTH, month_start(F.col(MONTH)))
@@ -118,18 +116,19 @@ def _named(spark: SparkSession, source: FileSource | TableSource | JdbcSource, c
     if missing:
         raise ValueError(f"case table lacks {', '.join(missing)}")
     kinds = dict(cases.dtypes)
-    for name in (MONTH, EVENT_DATE):
-        if kinds.get(name, "date") not in ("date", "timestamp", "timestamp_ntz", "string"):
-            raise ValueError(f"{name} must be a date, a timestamp or text, not {kinds[name]}")
+    moments = ("date", "timestamp", "timestamp_ntz")
+    for name, known in ((MONTH, (*moments, "string")), (EVENT_DATE, moments)):
+        if kinds.get(name, "date") not in known:
+            raise ValueError(f"{name} must be one of {', '.join(known)}, not {kinds[name]}")
     return cases
 
 
-def _day(cases: DataFrame, name: str, formats: Sequence[str]) -> Column:
-    return day_of(F.col(name), formats) if dict(cases.dtypes)[name] == "string" else F.col(name)
+def _day(cases: DataFrame, formats: Sequence[str]) -> Column:
+    return day_of(F.col(MONTH), formats) if dict(cases.dtypes)[MONTH] == "string" else F.col(MONTH)
 
 
 def _is_bad(cases: DataFrame, formats: Sequence[str]) -> Column:
-    return F.col(MONTH).isNotNull() & _day(cases, MONTH, formats).isNull()
+    return F.col(MONTH).isNotNull() & _day(cases, formats).isNull()
 
 
 def write_cases(
