@@ -353,12 +353,14 @@ def remainder_last(spark, d):
 
 
 def pivot_sorted(spark, d):
-    return placed(pivot_brand(spark, d), "subcat1")
+    """Places by the first series, numbered in ranges of that order."""
+    wide = pivot_brand(spark, d)
+    return prefix.numbered(wide, rank.position_order(wide, 1, "subcat1"), "place")
 
 
-def placed(wide: DataFrame, label: str) -> DataFrame:
-    """The place of each row by its first series, numbered in ranges of that order."""
-    return prefix.numbered(wide, rank.position_order(wide, 1, label), "place")
+def placed(report: DataFrame) -> DataFrame:
+    """The place of each category in its report, by the report's own order; a report has few categories."""
+    return rank.row_numbers(report, rank.position_order(report, 1, "category"), "place")
 
 
 def top_n_two_phase(spark, d):
@@ -741,8 +743,8 @@ QUERIES: dict[str, Query] = {
     "r_complaint_pareto_last": _report(reports.complaint_pareto, last=True),
     "r_other_pareto": _report(reports.other_pareto),
     "r_other_pareto_last": _report(reports.other_pareto, last=True),
-    "r_category_brand": lambda spark, d: placed(_report(reports.category_by_brand)(spark, d), "category"),
-    "r_category_brand_last": lambda spark, d: placed(_report(reports.category_by_brand, last=True)(spark, d), "category"),
+    "r_category_brand": lambda spark, d: placed(_report(reports.category_by_brand)(spark, d)),
+    "r_category_brand_last": lambda spark, d: placed(_report(reports.category_by_brand, last=True)(spark, d)),
     "r_category_brand_long": _report(reports.category_by_brand_long),
     "r_top_line_variant": _report(reports.top_line_variant),
     "r_top_line_variant_last": _report(reports.top_line_variant, last=True),
