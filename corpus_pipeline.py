@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopelens.llm import decontaminate, near_duplicates, repeats, toxicity, word_bpe
-from scopelens.llm.tables import crc_fold, stored, table
+from scopelens.llm.tables import crc_fold, free_name, stored, table
 
 #: Documents with at least this probability of being toxic go.
 TOXIC = 0.7
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the classifier learns from the training fold."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(crc_fold("doc_id", 3) != 1), labels.where(crc_fold("doc_id", 3) != 1))
-    return docs.withColumn("_toxic", toxicity.score(model)).where(F.col("_toxic") < TOXIC).select(*_own(docs))
+    return docs.where(toxicity.score(model) < TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +36,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; those of which nothing is left go."""
-    cut = repeats.without_repeats(docs).where("n_bytes = 0 or octet_length(kept_bytes) > 0")
-    columns = {"text": F.when(F.size("spans") > 0, repeats.whole_characters()).otherwise(F.col("kept_bytes").cast("string"))}
-    shortened = cut.withColumns(columns)
+    row = free_name(docs, "row")
+    packed = docs.select("doc_id", "text", F.struct(*_own(docs)).alias(row))
+    cut = repeats.without_repeats(packed).where("n_bytes = 0 or octet_length(kept_bytes) > 0")
+    text = F.when(F.size("spans") > 0, repeats.whole_characters()).otherwise(F.col("kept_bytes").cast("string"))
+    shortened = cut.select(row, text.alias("text"))
+    changed = F.col(row).withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        shortened = shortened.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return shortened.select(*_own(docs)).union(docs.where("doc_id is null"))
+        changed = changed.withField("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return shortened.select(changed.alias(row)).select(f"{row}.*").union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian 32-bit) of each document, their count, and the text they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    found = docs.select("doc_id", "lang", "source", word_bpe.coded(vocabulary).alias("coded"))
-    return found.select("doc_id", "lang", "source", "coded.*").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    own = [name for name in ("doc_id", "lang", "source") if name in docs.columns]
+    found = docs.select(*own, word_bpe.coded(vocabulary).alias("coded"))
+    return found.select(*own, "coded.*").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [
