@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from scopelens.llm.memory import forgets
+
 LIMIT = (1 << 21) - 2
 
 
@@ -83,20 +84,33 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for 2**bits places."""
-    size = 1 << bits
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Powers of the base and of its inverse modulo 2**64; longer tables replace shorter ones.
+_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of the base and of its inverse."""
+    if len(_tables[0]) < size:
+        whole = 1 << max(18, (size - 1).bit_length())
+        for k, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(whole, factor, np.uint64)
+            table[0] = 1
+            _tables[k] = np.multiply.accumulate(table)
+    return _tables[0], _tables[1]
+
+
+def _forget() -> None:
+    _tables[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+forgets(_forget)
 
 
 class Hashes:
     """Hashes of substrings of a block from one pass over its bytes."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _powers(max(18, len(data).bit_length()))
+        up, self._down = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * up[: len(data)], out=self._sums[1:])
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from scopelens.llm.blocks import Hashes, blocks, lower_ascii, mixed, rows_of, runs, windows
 from scopelens.llm.components import components
 from scopelens.llm.groups import Sets, groups
+from scopelens.llm.memory import tidy
 from scopelens.llm.tables import stored
 
 ROWS, BANDS = 5, 36
@@ -205,8 +206,7 @@ class _Corpus:
     def __init__(self, documents: DataFrame, doc_id: str, text: str, shingle: int, percent: int):
         self.texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
         self.shingle, self.percent = shingle, percent
-        signed = self.texts.mapInArrow(
-            _signed(shingle), "id long, size long, one long, two long, bands array<long>, sketch array<long>"
+        signed = self.texts.mapInArrow(tidy(_signed(shingle)), "id long, size long, one long, two long, bands array<long>, sketch array<long>"
         )
         self.signed = stored(signed)
         ids = self.signed.groupBy("id").agg(F.min(F.struct("one", "two", "size")).alias("own")).select("id", "own.*")
@@ -220,14 +220,14 @@ class _Corpus:
         """The shingles and sketches of some classes."""
         wanted = self.classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "one", "two", "sketch")
         texts = self.texts.join(wanted.select("id"), "id", "left_semi")
-        found = texts.mapInArrow(_shingled(self.shingle), "id long, one long, two long, shingles binary")
+        found = texts.mapInArrow(tidy(_shingled(self.shingle)), "id long, one long, two long, shingles binary")
         return stored(found.join(wanted, ["id", "one", "two"]).select("id", "sketch", "shingles").dropDuplicates(["id"]))
 
     def links(self, cells: DataFrame) -> DataFrame:
         """Verified links within cells (cell, side, id, component)."""
         whole = cells.join(self.sets(cells), "id")
         parted = whole.repartition(_parts(whole), "cell").sortWithinPartitions("cell")
-        return parted.mapInArrow(_verified(self.percent), "a long, b long")
+        return parted.mapInArrow(tidy(_verified(self.percent)), "a long, b long")
 
 
 def _parts(df: DataFrame) -> int:
@@ -285,7 +285,7 @@ def _further_cells(corpus: _Corpus, members: DataFrame, found: DataFrame) -> Dat
     cells = cells.select("at.cell", "at.side", "band", "id", "component")
     sketched = cells.join(corpus.classes.select("id", "size", "sketch", "bands"), "id")
     parted = sketched.repartition(_parts(sketched), "cell").sortWithinPartitions("cell")
-    return stored(parted.mapInArrow(_candidates(corpus.percent), "cell long, side int, id long, component long"))
+    return stored(parted.mapInArrow(tidy(_candidates(corpus.percent)), "cell long, side int, id long, component long"))
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

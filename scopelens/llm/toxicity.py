@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scopelens.llm.blocks import mixed
 from scopelens.llm.logistic import fit_sparse, sigmoid
+from scopelens.llm.memory import tidy
 
 #: Labelled rows learned from at most, taken in the order of a hash of their ids.
 SAMPLE_ROWS = 24_000
@@ -30,7 +31,8 @@ SAMPLE_ROWS = 24_000
 SIZES, BITS, FEATURES = (3, 4, 5, 6), 20, 4_000
 #: Texts that must hold an n-gram before it can carry a weight.
 LEAST_TEXTS = 5
-CHARS = 1 << 20
+#: Characters of text looked at together.
+CHARS = 1 << 18
 
 
 def _text_blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -138,7 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     square = (t * rest_o - o * rest_t) * 1.0
     chi = square * square * total / ((t + o) * 1.0 * (rest_t + rest_o + 1) * toxic * other)
     best = (
-        sample.mapInArrow(_counted, "place long, toxic long, other long")
+        sample.mapInArrow(tidy(_counted), "place long, toxic long, other long")
         .groupBy("place")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .where(t + o >= LEAST_TEXTS)
@@ -160,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
                     out[first + k] = found[bounds[k] : bounds[k + 1]].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.int32()))], ["label", "found"])
 
-    known = sample.mapInArrow(listed, "label int, found array<int>").toArrow()
+    known = sample.mapInArrow(tidy(listed), "label int, found array<int>").toArrow()
     found = known.column("found").combine_chunks()
     columns = np.asarray(found.flatten())
     rows = np.repeat(np.arange(len(found)), np.asarray(found.value_lengths()))
@@ -173,7 +175,7 @@ def score(model: Model, text: str = "text") -> Column:
     """The probability of a toxic text."""
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return model.scores(texts)
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda texts: map(model.scores, texts))(batches)
 
     return scored(F.col(text))

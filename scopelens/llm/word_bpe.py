@@ -21,6 +21,7 @@ import gc
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,8 +29,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scopelens.llm.memory import forgets, tidy
+
 #: Words whose tokens a worker remembers, and characters of text looked at together.
-REMEMBERED, BLOCK_CHARS = 250_000, 1 << 20
+REMEMBERED, BLOCK_CHARS = 200_000, 1 << 19
 _END = ""
 
 #: The split of words that such files use, and the same spelled for Latin-1 characters, which Python's re matches faster.
@@ -230,33 +233,34 @@ def _loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encoded(vocabulary: str, text: str = "text") -> Column:
-    """The ids of a text; ``vocabulary`` is the tokenizer file's place on every executor."""
+forgets(_loaded.cache_clear)
 
-    @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
-        return _loaded(vocabulary).encode(texts)
 
-    return encode(F.col(text))
+def _each(kind: str, vocabulary: str, work: Callable[[WordBpe, pa.Array], pa.Array]):
+    """A function of a column, whose worker keeps the vocabulary and known words for a task."""
 
+    @F.arrow_udf(kind)
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda columns: (work(_loaded(vocabulary), column) for column in columns))(batches)
 
-def decoded(vocabulary: str, ids: str = "ids") -> Column:
-    """The text of ids made by ``encoded``."""
+    return each
 
-    @F.arrow_udf("string")
-    def decode(values: pa.Array) -> pa.Array:
-        return _loaded(vocabulary).decode(values)
 
-    return decode(F.col(ids))
+def encoded(vocabulary: str, text: str = "text") -> Column:
+    """The ids of a text; ``vocabulary`` is the tokenizer file's place on every executor."""
+    return _each("binary", vocabulary, WordBpe.encode)(F.col(text))
+
+
+def decoded(vocabulary: str, ids: str = "ids") -> Column:
+    """The text of ids made by ``encoded``."""
+    return _each("string", vocabulary, WordBpe.decode)(F.col(ids))
 
 
 def coded(vocabulary: str, text: str = "text") -> Column:
     """Both at once: a struct of the ``ids`` of a text and the text they are ``decoded`` to."""
 
-    @F.arrow_udf("struct<ids: binary, decoded: string>")
-    def code(texts: pa.Array) -> pa.Array:
-        bpe = _loaded(vocabulary)
+    def code(bpe: WordBpe, texts: pa.Array) -> pa.Array:
         ids = bpe.encode(texts)
         return pa.StructArray.from_arrays([ids, bpe.decode(ids)], ["ids", "decoded"])
 
-    return code(F.col(text))
+    return _each("struct<ids: binary, decoded: string>", vocabulary, code)(F.col(text))
