@@ -6,19 +6,24 @@ windows of a document are looked up by hash and verified by their bytes.
 
 Defined cases: null and empty texts have no words and no hits; rows repeat as they come; an empty
 benchmark hits nothing; items with equal windows are all reported; items with a null id or text are
-left out; other columns of the documents are kept.
+left out; other columns of the documents are kept, ones named ``n_words``, ``spans`` or ``items`` are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopelens.llm.blocks import Hashes, blocks, lower_ascii, rows_of, runs, windows
+from scopelens.llm.memory import tidy
+from scopelens.llm.tables import free_name, stored
 
-#: Bytes of benchmark text in one broadcast set; a larger benchmark is looked up in several sets.
+#: Bytes of benchmark text in one broadcast set; a larger benchmark is looked up in several sets, one after another.
 SET_BYTES = 4 << 20
 
 RESULT = "struct<n_words: bigint, spans: array<struct<first: bigint, last: bigint, from: bigint, to: bigint>>, items: array<bigint>>"
@@ -95,21 +100,28 @@ class TestWindows:
         return pa.array(out, _RESULT)
 
 
-def _sets(benchmark: DataFrame, item_id: str, text: str, size: int, set_bytes: int) -> list[TestWindows]:
-    """The benchmark, which is a stated query set, read block by block of bounded size."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).dropna()
+def _sets(benchmark: DataFrame, item_id: str, text: str, size: int, set_bytes: int) -> Iterator[TestWindows]:
+    """The benchmark, which is a stated query set, block by block; one block at a time is on the driver.
+
+    Blocks are made so that their expected size is ``set_bytes``; one with twice as much is cut again.
+    """
+    items = stored(benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).dropna().distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // set_bytes)
-    if count <= 1:
-        return [TestWindows([tuple(row) for row in items.collect()], size)]
-    part = F.pmod(F.xxhash64("text"), F.lit(count))
-    return [TestWindows([tuple(row) for row in items.where(part == k).collect()], size) for k in range(count)]
+    waiting = [(k, max(1, -(-total // set_bytes))) for k in range(max(1, -(-total // set_bytes)))]
+    while waiting:
+        part, parts = waiting.pop()
+        own = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(parts)) == part)
+        held = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        if held["n"] > 1 and held["bytes"] > 2 * set_bytes:
+            waiting += [(part, 2 * parts), (part + parts, 2 * parts)]
+        elif held["n"] or parts == 1:
+            yield TestWindows([tuple(row) for row in own.collect()], size)
 
 
 def _scanner(known: TestWindows):
     @F.arrow_udf(RESULT)
-    def scan(texts: pa.Array) -> pa.Array:
-        return known.scan(texts)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda texts: map(known.scan, texts))(batches)
 
     return scan
 
@@ -118,23 +130,50 @@ def find(
     documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, set_bytes: int = SET_BYTES
 ) -> DataFrame:
     """The documents with ``n_words``, ``spans`` (word numbers and bytes, end excluded) and ``items``."""
-    found = [_scanner(known)(F.col(text)) for known in _sets(benchmark, item_id, item_text, size, set_bytes)]
-    out = documents.withColumn("_found", F.array(*found))
-    spans = merged(F.flatten("_found.spans")) if len(found) > 1 else F.col("_found")[0]["spans"]
-    return out.select(
+    own = free_name(documents, "found")
+    found, mark = _found(documents, own, _sets(benchmark, item_id, item_text, size, set_bytes), text, size)
+    return found.select(
         *[F.col(f"`{name}`") for name in documents.columns if name not in ("n_words", "spans", "items")],
-        F.col("_found")[0]["n_words"].alias("n_words"),
-        spans.alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten("_found.items"))).alias("items"),
+        mark["n_words"].alias("n_words"),
+        mark["spans"].alias("spans"),
+        mark["items"].alias("items"),
+    )
+
+
+def _found(documents: DataFrame, own: str, sets: Iterator[TestWindows], text: str, size: int) -> tuple[DataFrame, Column]:
+    """The documents with a column ``own`` and what was found in them.
+
+    Of several sets one at a time is scanned for; its hits are written, and put together by row at the end.
+    """
+    first = next(sets, None) or TestWindows([], size)
+    second = next(sets, None)
+    if second is None:
+        scanned = documents.withColumn(own, _scanner(first)(F.col(text)))
+        return scanned, F.col(own)
+    number, hit = free_name(documents, "row_number"), free_name(documents, "hit")
+    rows = stored(documents.withColumn(number, F.monotonically_increasing_id()))
+    hits = None
+    for known in chain((first, second), sets):
+        one = rows.select(number, _scanner(known)(F.col(text)).alias("found")).where(F.size("found.spans") > 0)
+        one = stored(one.select(number, "found.spans", "found.items"))
+        hits = one if hits is None else hits.union(one)
+    joined = hits.groupBy(number).agg(
+        merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    words = _scanner(TestWindows([], size))(F.col(text))["n_words"]
+    none = F.array().cast(dict(joined.dtypes)["spans"]), F.array().cast("array<bigint>")
+    whole = F.struct(
+        words.alias("n_words"), F.coalesce(F.col(f"{hit}.spans"), none[0]).alias("spans"), F.coalesce(F.col(f"{hit}.items"), none[1]).alias("items")
     )
+    packed = joined.select(number, F.struct("spans", "items").alias(hit))
+    return rows.join(packed, number, "left").withColumn(own, whole).drop(number), F.col(own)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, set_bytes: int = SET_BYTES) -> DataFrame:
     """The documents in which no window occurs, all columns as they are."""
-    sets = _sets(benchmark, item_id, item_text, size, set_bytes)
-    found = documents.withColumn("_found", F.array(*[_scanner(known)(F.col(text)) for known in sets]))
-    hit = F.exists("_found", lambda x: F.size(x["spans"]) > 0)
-    return found.where(~hit).select(*[F.col(f"`{name}`") for name in documents.columns])
+    own = free_name(documents, "found")
+    found, mark = _found(documents, own, _sets(benchmark, item_id, item_text, size, set_bytes), text, size)
+    return found.where(F.size(mark["spans"]) == 0).select(*[F.col(f"`{name}`") for name in documents.columns])
 
 
 def merged(spans: Column) -> Column:

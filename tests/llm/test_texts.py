@@ -194,6 +194,35 @@ def test_quality_held_out(spark, documents, prose):
     assert sum(a == b for a, b in held) / len(held) > 0.95 and scores[500] == scores[501]
 
 
+def test_the_risk_covers_all_unlabelled_text(spark, prose):
+    """Sums of tasks over counted bins are the sums over all rows, whatever the sample a fit starts from."""
+    rows = [(prose(source, source),) for source in range(2, 60)] + [(prose(9, 1),)] * 30 + [(None,), ("",)]
+    measures = quality._rows(spark.createDataFrame(rows, "text string").mapInArrow(quality._sampled, "measures array<double>"))
+    edges = np.quantile(measures, quality.SPREAD, axis=0).T
+    frame = spark.createDataFrame([(x.tolist(),) for x in measures], "measures array<double>")
+    binned = frame.mapInArrow(quality._in_bins(edges), "bins binary").groupBy("bins").agg(F.count("*").alias("times"))
+    model = quality.Model(edges, np.random.default_rng(3).normal(size=(len(quality.SHAPES), quality.BINS)), 0.2)
+    found = quality._pass(binned, lambda parts, times: quality._sums(parts, times, model), 2 * quality.WIDTH + 4)
+    f = model.weights[np.arange(len(quality.SHAPES)), model.bins(measures)].sum(1) + model.bias
+    s = 1 / (1 + np.exp(-f))
+    assert found[-1] == len(rows) and found[-2] == pytest.approx(np.logaddexp(0, f).sum())
+    assert found[quality.WIDTH] == pytest.approx(s.sum()) and found[2 * quality.WIDTH + 1] == pytest.approx((s * (1 - s)).sum())
+    slope = np.zeros((len(quality.SHAPES), quality.BINS))
+    for row, own in zip(model.bins(measures), s, strict=True):
+        slope[np.arange(len(row)), row] += own
+    assert found[: quality.WIDTH] == pytest.approx(slope.ravel())
+    scores = np.sort(model.scores(measures[:20]))
+    above = quality._pass(binned, quality._above(model, scores), len(scores) + 1)
+    assert above.tolist() == [*((model.scores(measures) >= x).sum() for x in scores), len(rows)]
+
+
+def test_the_prior_comes_from_positives_and_unlabelled_text():
+    source = np.random.default_rng(4)
+    positives, unlabelled = np.sort(source.normal(4, 1, 4000)), np.concatenate([source.normal(4, 1, 3000), source.normal(-4, 1, 7000)])
+    above = np.array([(unlabelled >= x).mean() for x in positives])
+    assert quality.estimated_prior(positives, above) == pytest.approx(0.3, abs=0.02)
+
+
 def test_the_risk_never_turns_negative_into_overfit():
     source = np.random.default_rng(1)
     positive, negative = source.normal(1, 1, (400, len(quality.SHAPES))), source.normal(-1, 1, (300, len(quality.SHAPES)))
@@ -255,3 +284,30 @@ def test_main_text_column(spark):
     df = spark.createDataFrame([(1, f"<article><p>{SENTENCE}"), (2, None), (3, ""), (4, "<p>" + "word and the " * 40_000)], "page_id long, html string")
     got = rows_of(df.withColumn("text", main_text.extracted()), "page_id", "text")
     assert got[1] == (SENTENCE,) and got[2] == got[3] == ("",) and len(got[4][0]) == 13 * 40_000 - 1
+
+
+PARAGRAPH = "This is the text of a long paragraph that has many of the words that are so common in prose, and it goes on for a while so that it is decided. "
+
+
+def test_main_text_keeps_a_body_outside_of_a_teaser():
+    body = [f"{k} {PARAGRAPH * 2}".strip() for k in range(6)]
+    page = "<html><body><div>" + "".join(f"<p>{x}</p>" for x in body) + f"</div><article><h3>More</h3><p>{PARAGRAPH}</p></article></body></html>"
+    found = main_text.main_text(page)
+    assert all(x in found for x in body)
+
+
+@pytest.mark.parametrize("name", ["search-result", "cookie-article", "alert-level-story", "headerContent"])
+def test_main_text_keeps_paragraphs_of_named_content(name):
+    page = f"<article><p>{PARAGRAPH}</p><div class='{name}'><p>Second. {PARAGRAPH}</p></div><div class='cookie-notice'><p>Third. {PARAGRAPH}</p></div></article>"
+    found = main_text.main_text(page)
+    assert "Second." in found and "Third." not in found
+    for dropped in ("post-comments", "comment-body", "article-footer", "main-nav", "content-sidebar"):
+        assert "Second." not in main_text.main_text(page.replace(name, dropped))
+
+
+def test_main_text_of_empty_tables_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert spark.createDataFrame([], schema).select("page_id", main_text.extracted().alias("text")).count() == 0
+    row = (1, "u", f"<p>{PARAGRAPH}</p>", "other", 7)
+    found = spark.createDataFrame([row, row, (2, None, None, None, None)], schema).withColumn("text", main_text.extracted()).collect()
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in found] == [(1, PARAGRAPH.strip(), 7), (1, PARAGRAPH.strip(), 7), (2, "", None)]
