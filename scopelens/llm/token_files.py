@@ -27,6 +27,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from scopelens.llm.tables import stored
 MAGIC = b"BITP1\0\0\0"
 #: Ids of a block, compression level, words a worker remembers, and characters of text looked at together.
 BLOCK, LEVEL, REMEMBERED, BLOCK_CHARS = 1 << 16, 3, 300_000, 1 << 20
+#: Bytes of text for a file, on average.
+FILE_BYTES = 24 << 20
 
 
 def planes(ids: np.ndarray) -> list[bytes]:
@@ -157,6 +160,10 @@ class ByteBpe:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        #: whether words are what ``_words`` finds
+        self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -168,26 +175,24 @@ class ByteBpe:
             return _ANY.findall(text)
         return _LATIN.findall(text)
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         last = end.to_bytes(4, "little")
-        split: list[list[str] | None] = [None if any(x in text for x in self.special) else self._words(text) for text in texts]
+        # a text with special tokens goes to the library whole, and so do all where words cannot be told apart here
+        split = [None if not self.splits or any(x in text for x in self.special) else self._words(text) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         known = self.known
-        unseen = {word for words in split if words for word in words if word not in known}
-        for word in unseen & self.before.keys():
-            known[word] = self.before[word]
-        new = list(unseen - self.before.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array("I", found.ids).tobytes()
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                ids = b"".join([known[word] for word in words])
-            out.append(np.frombuffer(ids + last, "<u4"))
-        return out
+        unseen = set(filterfalse(known.__contains__, chain.from_iterable(words for words in split if words)))
+        remembered = unseen & self.before.keys()
+        known.update(zip(remembered, map(self.before.__getitem__, remembered), strict=True))
+        new = list(unseen - remembered)
+        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known.update((word, array("I", found.ids).tobytes()) for word, found in zip(new, encoded, strict=True))
+        ids = (self._whole(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split, strict=True))
+        return [np.frombuffer(x + last, "<u4") for x in ids]
 
 
 @lru_cache(maxsize=2)
@@ -231,7 +236,8 @@ def write(documents: DataFrame, folder: str, vocabulary: str, *, doc_id: str = "
     """Writes the files into a folder that all executors share; one row per file, in ascending order of ids."""
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     session = documents.sparkSession
-    count = files or max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = files or max(-(-total // FILE_BYTES), session.sparkContext.defaultParallelism)
     ranged = rows.repartitionByRange(count, "id").sortWithinPartitions("id", "text")
     return stored(ranged.mapInArrow(_written(folder, vocabulary, end), "part long, file string, documents long, ids long"))
 
