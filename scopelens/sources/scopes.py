@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scopelens.functions.labels import strip_brackets, title_case
 from scopelens.model import SCOPE_ID
+from scopelens.session import stored
 
 # A membership word is a long; 60 of its bits are used.
 WORD_BITS = 60
@@ -164,15 +165,28 @@ def scope_label(catalogue: DataFrame, scope_id: int, name: str = "name") -> Data
 #: Levels of a hierarchy that ``scope_paths`` follows.
 MOST_LEVELS = 100
 
-_PATHS = """
-WITH RECURSIVE path (id, at, depth, ids, names, circular) MAX RECURSION LEVEL {levels} AS (
-    SELECT {id}, {parent}, 0, array({id}), array({name}), false FROM {{scopes}} WHERE {id} IS NOT NULL
-    UNION ALL
-    SELECT path.id, up.{parent}, path.depth + 1, array_prepend(path.ids, up.{id}), array_prepend(path.names, up.{name}),
-           array_contains(path.ids, up.{id})
-    FROM path JOIN {{scopes}} AS up ON path.at = up.{id} WHERE NOT path.circular)
-SELECT id, max_by(at, depth) AS at, max(depth) AS depth, max_by(ids, depth) AS ids, max_by(names, depth) AS names, bool_or(circular) AS circular
-FROM path GROUP BY id"""
+def _twice_as_far(ways: DataFrame) -> DataFrame:
+    """Open ways (root first) with the way of the scope above them put before; those that have closed a circle are cut there.
+
+    Only ways that are needed are joined, each once: near the root a few serve almost all scopes.
+    """
+    open_ways = ways.where("open")
+    upper = ways.selectExpr("id AS at", "at AS up_at", "ids AS up_ids", "names AS up_names", "open AS up_open")
+    needed = upper.join(open_ways.select("at").distinct(), "at")
+    found = F.col("up_ids").isNotNull()
+    joined = open_ways.join(needed, "at", "left").select(
+        "id",
+        F.when(found, F.col("up_at")).otherwise(F.col("at")).alias("at"),
+        F.when(found, F.concat("up_ids", "ids")).otherwise(F.col("ids")).alias("ids"),
+        F.when(found, F.concat("up_names", "names")).otherwise(F.col("names")).alias("names"),
+        F.coalesce("up_open", F.lit(False)).alias("open"),
+    )
+    # the scopes of a circle follow each other again and again, so the first repeat comes after all that differ
+    length = F.least(F.size("ids"), F.size(F.array_distinct("ids")) + 1)
+    circular = F.size("ids") > F.size(F.array_distinct("ids"))
+    cut = [F.slice(name, F.size("ids") - length + 1, length).alias(name) for name in ("ids", "names")]
+    moved = joined.select("id", "at", *cut, (F.col("open") & ~circular).alias("open"), circular.alias("circular"))
+    return ways.where("NOT open").unionByName(moved)
 
 
 def scope_paths(catalogue: DataFrame, name: str = "name", parent: str = "parent_id", separator: str = " / ", levels: int = MOST_LEVELS) -> DataFrame:
@@ -181,6 +195,7 @@ def scope_paths(catalogue: DataFrame, name: str = "name", parent: str = "parent_
     The state is ``complete``, ``orphan`` if the uppermost scope found names a parent that is not in the catalogue, or
     ``circle`` if scopes narrow each other in a circle; the path of these then begins where the circle closes.
     More than ``levels`` levels are an error, as are repeated ids of parents: each would double the paths.
+    Ways double their length in each round and are written to the shared folder, so ``levels`` take their logarithm in rounds.
     """
     ids = catalogue.groupBy(SCOPE_ID).count()
     once = ids.agg(F.coalesce(F.max("count"), F.lit(0)) > 1).scalar()
@@ -189,7 +204,14 @@ def scope_paths(catalogue: DataFrame, name: str = "name", parent: str = "parent_
         F.col(parent).cast("long").alias("parent"),
         title_case(strip_brackets(F.coalesce(F.col(name), F.lit("")))).alias("shown"),
     )
-    query = _PATHS.format(levels=levels, id="id", parent="parent", name="shown")
-    found = catalogue.sparkSession.sql(query, scopes=checked)
+    first = ("id", "parent AS at", "array(id) AS ids", "array(shown) AS names", "parent IS NOT NULL AS open", "false AS circular")
+    found = stored(checked.where("id IS NOT NULL").selectExpr(*first))
+    while True:
+        longest, unfinished = found.agg(F.max(F.size("ids")), F.bool_or("open")).first()
+        if (longest or 0) > levels:
+            raise ValueError(f"scopes narrow each other over more than {levels} levels")
+        if not unfinished:
+            break
+        found = stored(_twice_as_far(found))
     state = F.when(F.col("circular"), "circle").when(F.col("at").isNotNull(), "orphan").otherwise("complete")
-    return found.select(F.col("id").alias(SCOPE_ID), F.array_join("names", separator).alias("path"), "ids", "depth", state.alias("state"))
+    return found.select(F.col("id").alias(SCOPE_ID), F.array_join("names", separator).alias("path"), "ids", (F.size("ids") - 1).alias("depth"), state.alias("state"))

@@ -231,6 +231,32 @@ def test_scope_paths(spark):
     assert scope_paths(catalogue.where("scope_id < 0")).count() == 0
 
 
+def test_scope_paths_of_more_rows_than_a_recursion_may_return(spark):
+    """Trees, unknown parents, circles and ways into them, each against a walk from scope to scope."""
+    parents = {k: (k // 4 if k >= 4 else None) for k in range(1, 40)}
+    parents |= {100: None, 300: 999, 400: 405, 500: 402, 501: 500, 502: 501}
+    parents |= {k: k - 1 for k in (*range(101, 200), *range(301, 306), *range(401, 406))}
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "20")
+    try:
+        catalogue = spark.createDataFrame([(k, up, f"s{k}") for k, up in parents.items()], "scope_id long, parent_id long, name string")
+        found = {row["scope_id"]: (row["ids"], row["path"], row["depth"], row["state"]) for row in scope_paths(catalogue).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    expected = {}
+    for k in parents:
+        way, at, state = [k], parents[k], "complete"
+        while at is not None and state == "complete":
+            state = "orphan" if at not in parents else "circle" if at in way else state
+            way, at = ([at, *way], parents[at]) if at in parents else (way, None)
+        expected[k] = (way, " / ".join(f"S{x}" for x in way), len(way) - 1, state)
+    assert found == expected
+    assert scope_paths(catalogue.where("scope_id between 100 and 102"), levels=3).count() == 3
+    with pytest.raises(Exception, match="levels"):
+        scope_paths(catalogue.where("scope_id between 100 and 103"), levels=3).collect()
+
+
 # Labels with blanks at their end
 
 
