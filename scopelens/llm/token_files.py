@@ -155,6 +155,15 @@ _LATIN = re.compile(
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+def _shown_bytes() -> dict[int, int]:
+    """The characters that byte-level vocabularies spell bytes with: themselves if printable, or else the next from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: 256 + place for place, byte in enumerate(x for x in range(256) if x not in shown)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class ByteBpe:
     """A byte-level tokenizer; each distinct word goes to the library once while it is remembered."""
 
@@ -164,6 +173,8 @@ class ByteBpe:
         split = spec["pre_tokenizer"] or {}
         #: whether words are what ``_words`` finds
         self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self.splits = self.splits and spec["truncation"] is None and spec["padding"] is None
+        self.model = self.tokenizer.model
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -175,6 +186,21 @@ class ByteBpe:
             return _ANY.findall(text)
         return _LATIN.findall(text)
 
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of Latin-1 characters go to the model itself, as the steps before it would find each whole again.
+
+        Others take these steps too: which characters are letters differs between versions of Unicode.
+        """
+        others = []
+        for word in words:
+            if max(word) > "\xff":
+                others.append(word)
+            else:
+                shown = word.encode().decode("latin-1").translate(_SHOWN)
+                yield word, array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        yield from ((word, array("I", found.ids).tobytes()) for word, found in zip(others, encoded, strict=True))
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -188,9 +214,7 @@ class ByteBpe:
         unseen = set(filterfalse(known.__contains__, chain.from_iterable(words for words in split if words)))
         remembered = unseen & self.before.keys()
         known.update(zip(remembered, map(self.before.__getitem__, remembered), strict=True))
-        new = list(unseen - remembered)
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update((word, array("I", found.ids).tobytes()) for word, found in zip(new, encoded, strict=True))
+        known.update(self._new(list(unseen - remembered)))
         ids = (self._whole(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split, strict=True))
         return [np.frombuffer(x + last, "<u4") for x in ids]
 

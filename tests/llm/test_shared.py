@@ -107,3 +107,34 @@ def test_words_are_told_apart_only_where_the_vocabulary_does():
     assert [x.tolist() for x in bpe.encode(texts, 2)] == expected
     bpe.splits = False
     assert [x.tolist() for x in bpe.encode(texts, 2)] == expected
+
+
+def test_words_of_latin_characters_go_to_the_model_alone():
+    import public_tokenizers
+
+    bpe = token_files.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    library, seen = bpe.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    bpe.tokenizer = Watched()
+    bytes_ = "".join(map(chr, range(256)))
+    texts = ["Größe, 3²\xa0 m  and\n\n it's \xad done ", bytes_, bytes_[::-1], " ".join(bytes_), "日本 words", ""]
+    expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x.tolist() for x in bpe.encode(texts, 2)] == expected
+    assert seen == ["日本"]
+
+
+def test_a_vocabulary_that_cuts_texts_encodes_them_whole(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.enable_truncation(3)
+    library.save(str(tmp_path / "cut.json"))
+    texts = ["one two three four five", "one"]
+    expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x.tolist() for x in token_files.ByteBpe(str(tmp_path / "cut.json")).encode(texts, 2)] == expected
