@@ -22,12 +22,11 @@ from __future__ import annotations
 import base64
 import gc
 import json
-import re
 import uuid
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from scopelens.llm.tables import stored
 
 MAGIC = b"BITP1\0\0\0"
-#: Ids of a block, compression level, words a worker remembers, and characters of text looked at together.
-BLOCK, LEVEL, REMEMBERED, BLOCK_CHARS = 1 << 16, 3, 300_000, 1 << 20
+#: Ids of a block, compression level, words a worker remembers, and characters of text looked at together, and new words
+#: encoded together.
+BLOCK, LEVEL, REMEMBERED, BLOCK_CHARS, BLOCK_WORDS = 1 << 16, 3, 300_000, 1 << 21, 1 << 15
 #: Bytes of text for a file, on average.
 FILE_BYTES = 24 << 20
 
@@ -147,12 +148,49 @@ class Reader:
             held, first = held[end - first :], end
 
 
-#: For texts of Latin-1 characters only, the tokenizer's own pattern spelled for them, which Python's re matches faster.
-_LATIN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+"
-    r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
-)
-_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Kinds of characters, as the tokenizer's own pattern tells them apart, and the end of a text:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_LETTER, _NUMBER, _OTHER, _BLANK, _END = range(5)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    kinds, every = np.full(0x110000, _OTHER, np.uint8), "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+        for run in regex.finditer(pattern, every):
+            kinds[run.start() : run.end()] = kind
+    return kinds
+
+
+def _starts(chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words of texts begin, each text with one more character behind it, at ``ends``, which is a word too."""
+    kinds = _kinds()[chars]
+    kinds[ends] = _END
+    word, space = kinds < _BLANK, chars == ord(" ")
+    start = np.ones(len(chars), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+    start[1:] &= ~(space[:-1] & word[1:])  # a space goes with the word behind it,
+    start[:-1] |= (kinds[:-1] == _BLANK) & word[1:]  # and leaves other blanks before it
+    start[ends] = True
+    start[ends[:-1] + 1] = True
+    at = np.flatnonzero((chars == ord("'")) & start)
+    at = at[kinds[at + 1] == _LETTER]  # so two more characters follow
+    first, second = chars[at + 1], chars[at + 2]
+    for letter in "stmd":
+        found = at[first == ord(letter)]
+        start[found + 1], start[found + 2] = False, True
+    for one, two in ("re", "ve", "ll"):
+        found = at[(first == ord(one)) & (second == ord(two))]
+        start[found + 1], start[found + 3] = False, True
+    return np.flatnonzero(start)
+
+
+def _strings(words: pa.LargeBinaryArray) -> list[str]:
+    """Words of 32-bit characters, all decoded at once."""
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, "<i8", len(words) + 1)
+    every = data[: int(places[-1])].to_pybytes().decode("utf-32-le")
+    return [every[start:end] for start, end in pairwise((places // 4).tolist())]
 
 
 def _shown_bytes() -> dict[int, int]:
@@ -162,6 +200,8 @@ def _shown_bytes() -> dict[int, int]:
 
 
 _SHOWN = _shown_bytes()
+#: The character for each byte; 0xff, which UTF-8 has not, stands between words.
+_SPELLING = "".join("\n" if byte == 0xFF else chr(_SHOWN.get(byte, byte)) for byte in range(256))
 
 
 class ByteBpe:
@@ -171,52 +211,80 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"] or {}
-        #: whether words are what ``_words`` finds
+        #: whether words are what ``_starts`` finds
         self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.splits = self.splits and spec["truncation"] is None and spec["padding"] is None
-        self.model = self.tokenizer.model
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: the model without the steps around it, for words spelled in bytes, a line each
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = self.model.get_vocab()
+        #: and tokens spell all of a word and nothing else, so their lengths tell words apart
+        self.splits = self.splits and spec["model"]["type"] == "BPE" and not any(spec["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.splits = self.splits and all(chr(_SHOWN.get(byte, byte)) in vocabulary for byte in range(256))
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return _ANY.findall(text)
-        return _LATIN.findall(text)
-
     def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of Latin-1 characters go to the model itself, as the steps before it would find each whole again.
 
         Others take these steps too: which characters are letters differs between versions of Unicode.
         """
-        others = []
+        latin, others = [], []
         for word in words:
-            if max(word) > "\xff":
-                others.append(word)
-            else:
-                shown = word.encode().decode("latin-1").translate(_SHOWN)
-                yield word, array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        yield from ((word, array("I", found.ids).tobytes()) for word, found in zip(others, encoded, strict=True))
+            (latin if word.isascii() or max(word) <= "\xff" else others).append(word)
+        for some in batched(latin, BLOCK_WORDS):
+            yield from zip(some, self._spelled(some), strict=True)
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
+        yield from ((word, np.array(found.ids, "<u4").tobytes()) for word, found in zip(others, encoded, strict=True))
+
+    def _spelled(self, words: tuple[str, ...]) -> list[bytes]:
+        """Ids of words, all encoded at once; the lengths of the tokens tell where each ends."""
+        lines = charmap_decode("\uffff".join(words).encode().replace("\uffff".encode(), b"\xff"), "strict", _SPELLING)[0]
+        ids = np.array(self.model.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, lines.split("\n")), np.int64, len(words)))
+        cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[start:end] for start, end in zip(chain((0,), cuts), cuts, strict=False)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, words))
+        unseen = [word for word, ids in zip(words, found, strict=True) if ids is None]
+        remembered = {word: self.before[word] for word in unseen if word in self.before}
+        learned = remembered | dict(self._new([word for word in unseen if word not in remembered]))
+        self.known |= learned
+        return [learned[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, texts: list[str], last: bytes) -> Iterator[np.ndarray]:
+        """Ids of texts by their words, of which Arrow finds the distinct ones."""
+        chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        starts = _starts(chars, ends)
+        places = pa.py_buffer(np.append(starts, len(chars)) * chars.itemsize)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, places, pa.py_buffer(chars)]).dictionary_encode()
+        numbers = words.indices.to_numpy().copy()
+        text_ends = np.searchsorted(starts, ends)
+        numbers[text_ends] = len(words.dictionary)  # the end id
+        found = pa.array([*self._ids(_strings(words.dictionary)), last], pa.large_binary()).take(pa.array(numbers))
+        places = np.frombuffer(found.buffers()[1], "<i8")[np.append(0, text_ends + 1)] // 4
+        ids = np.frombuffer(found.buffers()[2], "<u4", places[-1])
+        return (ids[start:end] for start, end in pairwise(places.tolist()))
+
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         last = end.to_bytes(4, "little")
         # a text with special tokens goes to the library whole, and so do all where words cannot be told apart here
-        split = [None if not self.splits or any(x in text for x in self.special) else self._words(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known = self.known
-        unseen = set(filterfalse(known.__contains__, chain.from_iterable(words for words in split if words)))
-        remembered = unseen & self.before.keys()
-        known.update(zip(remembered, map(self.before.__getitem__, remembered), strict=True))
-        known.update(self._new(list(unseen - remembered)))
-        ids = (self._whole(text) if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts, split, strict=True))
-        return [np.frombuffer(x + last, "<u4") for x in ids]
+        whole = [not self.splits or any(x in text for x in self.special) for text in texts]
+        split = [text for text, alone in zip(texts, whole, strict=True) if not alone]
+        ids = self._split(split, last) if split else iter(())
+        return [np.frombuffer(self._whole(text) + last, "<u4") if alone else next(ids) for text, alone in zip(texts, whole, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -138,3 +138,55 @@ def test_a_vocabulary_that_cuts_texts_encodes_them_whole(tmp_path):
     texts = ["one two three four five", "one"]
     expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert [x.tolist() for x in token_files.ByteBpe(str(tmp_path / "cut.json")).encode(texts, 2)] == expected
+
+
+def test_new_words_go_to_the_model_at_once():
+    import public_tokenizers
+
+    bpe = token_files.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    model, calls = bpe.model, []
+
+    class Watched:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(model, name)
+
+    bpe.model = Watched()
+    texts = ["some new words, and others", "\n\nGröße  it's 12 words\n", "new words and words"]
+    expected = [bpe.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x.tolist() for x in bpe.encode(texts, 2)] == expected
+    assert [x.tolist() for x in bpe.encode(texts, 2)] == expected
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("kind", ["BPE", "WordLevel", "prefix"])
+def test_a_vocabulary_whose_tokens_do_not_spell_words_encodes_them_whole(tmp_path, kind):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = [x for x in spec["model"]["vocab"] if len(x) == 1]
+    if kind == "BPE":  # a byte is missing
+        spec["model"] |= {"merges": [], "vocab": {x: k for k, x in enumerate(x for x in letters if x != "q")}}
+    elif kind == "WordLevel":
+        spec["model"] = {"type": "WordLevel", "vocab": {x: k for k, x in enumerate([*letters, "<unknown>", "Ġquite"])}, "unk_token": "<unknown>"}
+    else:
+        spec["model"] |= {"merges": [], "vocab": {x: k for k, x in enumerate([*letters, *("##" + x for x in letters)])}, "continuing_subword_prefix": "##"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    library, texts = Tokenizer.from_file(str(tmp_path / "other.json")), ["a quite quiet equal", "q", ""]
+    expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x.tolist() for x in token_files.ByteBpe(str(tmp_path / "other.json")).encode(texts, 2)] == expected
+
+
+def test_new_words_are_encoded_in_blocks(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    bpe = token_files.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (["one two three four five", "日本 two"], ["five six"], ["one six 日本 seven"], ["", "two"]):
+        expected = [bpe.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert [x.tolist() for x in bpe.encode(texts, 2)] == expected

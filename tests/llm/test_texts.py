@@ -127,6 +127,16 @@ def test_byte_bpe_is_the_library():
     assert [x.tolist() for x in own.encode(texts, 2)] == [library.encode(text, add_special_tokens=False).ids + [2] for text in texts]
 
 
+BYTE_BPE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_files.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@given(st.lists(st.text("'sStmdrevl ab3²½éß\n\t\r\x85\xa0\x1c\0!_\u3000\u2028’“日本０🙂\u0301\uffff", max_size=25), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_byte_bpe_splits_texts_as_the_library(texts):
+    library, own = BYTE_BPE
+    assert [x.tolist() for x in own.encode(texts, 2)] == [library.encode(text, add_special_tokens=False).ids + [2] for text in texts]
+
+
 def test_token_files(spark, documents, prose, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 64)
     path = public_tokenizers.path("byte_bpe_50k.json")
