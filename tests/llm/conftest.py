@@ -2,9 +2,17 @@ import random
 
 import pytest
 
+from scopelens.llm import memory
+
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te", "so") for b in ("n", "ra", "st", "vel", "dor", "pi", "x")]
 
 
+@pytest.fixture(autouse=True)
+def fresh_caches():
+    """Caches of the test process start empty, as a task's do, whatever other tests left in them."""
+    memory.released()
+
+
 @pytest.fixture
 def prose():
     """A maker of texts of so many words, the same for the same seed."""
